@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,14 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def cut(df: DataFrame, files: int | None = None) -> DataFrame:
+def cut(df: DataFrame, observed: Observation | None = None, *what: Column) -> DataFrame:
     """Write df to the shared folder and read it back: a short lineage that outlives lost executors.
 
-    Compressed Parquet instead of checkpoint(), so that later reads prune columns and the optimizer knows sizes.
+    Compressed Parquet instead of checkpoint(), so that later reads prune columns and the optimizer knows sizes. `observed`
+    gets the aggregates `what` of the rows on their way, without a second pass.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    (df.coalesce(files) if files else df).write.parquet(path)
+    (df.observe(observed, *what) if observed else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
