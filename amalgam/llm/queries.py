@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amalgam.functions.values import clean_id
-from amalgam.llm import groups, looks, survivors
+from amalgam.llm import groups, looks, pieces, survivors, tokens
 from amalgam.sources.tables import table
 
 
@@ -38,5 +38,14 @@ def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.golden_records(_source2(spark, sf_dir), "entity_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p6_found": p6_found, "p6_records": p6_records}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "ids")
+
+
+def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = [(r.limit_name, r.max_tokens, r.overlap_tokens) for r in table(spark, sf_dir, "split_limits").collect()]  # parameters, one row each
+    return pieces.split_texts(table(spark, sf_dir, "documents"), "doc_id", "text", limits)
+
+
+QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p6_found": p6_found, "p6_records": p6_records, "p8_ids": p8_ids, "p10_pieces": p10_pieces}
 ORACLE: dict[str, str] = {}
