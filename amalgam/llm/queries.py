@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amalgam.functions.values import clean_id
-from amalgam.llm import groups, looks, pieces, survivors, tokens
+from amalgam.llm import groups, looks, mixing, pieces, survivors, tokens
 from amalgam.sources.tables import table
 
 
@@ -42,10 +42,19 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "ids")
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = [mixing.Target(r.source, r.target_share, r.max_repeats) for r in table(spark, sf_dir, "mix_targets").collect()]  # parameters, one row each
+    return mixing.mix(table(spark, sf_dir, "documents"), targets)
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares_reached(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = [(r.limit_name, r.max_tokens, r.overlap_tokens) for r in table(spark, sf_dir, "split_limits").collect()]  # parameters, one row each
     return pieces.split_texts(table(spark, sf_dir, "documents"), "doc_id", "text", limits)
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p6_found": p6_found, "p6_records": p6_records, "p8_ids": p8_ids, "p10_pieces": p10_pieces}
+QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p6_found": p6_found, "p6_records": p6_records, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
 ORACLE: dict[str, str] = {}
