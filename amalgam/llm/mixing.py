@@ -160,7 +160,7 @@ def nearest_shares(shares: np.ndarray, can: np.ndarray) -> np.ndarray:
     return out
 
 
-def mix(df: DataFrame, targets: list[Target], key: str = "doc_id", source: str = "source", text: str = "text", max_labelled: int = 20_000, iterations: int = 40) -> DataFrame:
+def mix(df: DataFrame, targets: list[Target], key: str = "doc_id", source: str = "source", text: str = "text", max_labelled: int = 5_000, iterations: int = 40) -> DataFrame:
     """(key, source, n_tokens, times): the documents drawn, with how often each is used."""
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amalgam.functions.values import clean_id
-from amalgam.llm import groups, looks, mixing, pieces, survivors, tokens
+from amalgam.llm import groups, looks, matching, mixing, names, pieces, places, survivors, tokens
 from amalgam.sources.tables import table
 
 
@@ -30,6 +30,28 @@ def _source2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("entity_id", clean_id(rows.entity_id))
 
 
+def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, two = table(spark, sf_dir, "test_source1"), table(spark, sf_dir, "test_source2")
+    out = matching.matches(one, one.entity_id, two, clean_id(two.entity_id))
+    return out.select(F.col("id1").alias("source1_entity_id"), F.col("id2").alias("source2_entity_id"), "confidence")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_matches(spark, sf_dir).drop("confidence")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, three = table(spark, sf_dir, "test_source1"), table(spark, sf_dir, "test_source3")
+    out = places.same_place_pairs(one, one.entity_id, three, three.entity_id)
+    return out.select(F.col("id1").alias("source1_entity_id"), F.col("id2").alias("source3_entity_id"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, two = table(spark, sf_dir, "test_source1"), table(spark, sf_dir, "test_source2")
+    out = names.same_name_pairs(one, one.entity_id, two, clean_id(two.entity_id))
+    return out.select(F.col("id1").alias("source1_entity_id"), F.col("id2").alias("source2_entity_id"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.survivors(_source2(spark, sf_dir), "entity_id", {"name_ord": "business_name", "address_ord": "business_address"}, least_rows=2)
 
@@ -56,5 +78,5 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_texts(table(spark, sf_dir, "documents"), "doc_id", "text", limits)
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p6_found": p6_found, "p6_records": p6_records, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
+QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p7_found": p7_found, "p6_found": p6_found, "p6_records": p6_records, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
 ORACLE: dict[str, str] = {}
