@@ -18,8 +18,22 @@ def similar(a: Column, b: Column) -> Column:
 
 
 def core_similarity(p: str = "1", q: str = "2") -> Column:
-    """Of two names: the words in the order written or sorted, whichever fits better."""
-    return F.greatest(similar(F.col(f"core{p}"), F.col(f"core{q}")), similar(F.col(f"core_sorted{p}"), F.col(f"core_sorted{q}")))
+    """Of two names: the words in the order written or sorted, whichever fits better; 0 if only some of the words agree.
+
+    Of two names of two words each word must have its partner (a word cut short counts); where words are run together or left
+    out, the names as a whole must be closer.
+    """
+    v, w = F.col(f"core_words{p}"), F.col(f"core_words{q}")
+
+    def word(x: Column, y: Column) -> Column:
+        short = (F.least(F.length(x), F.length(y)) >= 4) & (F.startswith(x, y) | F.startswith(y, x))
+        return F.when(short, 1.0).otherwise(similar(x, y))
+
+    a, b, c, d = F.get(v, 0), F.get(v, 1), F.get(w, 0), F.get(w, 1)
+    paired = F.greatest(F.least(word(a, c), word(b, d)), F.least(word(a, d), word(b, c))) >= 0.62
+    whole = F.greatest(similar(F.col(f"core{p}"), F.col(f"core{q}")), similar(F.col(f"core_sorted{p}"), F.col(f"core_sorted{q}")))
+    two = (F.size(v) == 2) & (F.size(w) == 2)
+    return F.when(whole >= 1, whole).when(F.when(two, (whole >= 0.65) & paired).otherwise(whole >= 0.79), whole).otherwise(0.0)
 
 
 def given_level(p: str = "1", q: str = "2") -> Column:

@@ -130,12 +130,12 @@ class NameParser:
                 self.trades[w] = [t for t in trades if _fits(w, t)]
         self.begins: dict[str, list[str]] = {}
         for t in trades:
-            for k in range(3 if t[0] <= "\u052f" else 1, min(len(t), 6)):
+            for k in range(3 if t[0] <= "\u052f" else 1, len(t)):
                 self.begins.setdefault(t[:k], []).append(t)
         self.given = Nearby(FORMAL, 5)
 
     def __call__(self, folded_name: str) -> tuple:
-        """core (in order), core sorted, given names it may mean, initials, trades, keys."""
+        """core (in order), core sorted, its words, given names it may mean, initials, trades, keys."""
         words = name_words(folded_name)
         core, given, initials, trade, firm = [], [], [], [], False
         for w in words:
@@ -161,7 +161,7 @@ class NameParser:
         if not core:
             core = [w for w in words if w not in LEGAL and (len(w) > 1 or not w.isascii())] or words
             trade, given = [], []
-        return "".join(core), "".join(sorted(core)), sorted(set(given)), "" if firm or given else "".join(sorted(set(initials))), sorted(set(trade)), name_keys(core)
+        return "".join(core), "".join(sorted(core)), core, sorted(set(given)), "" if firm or given else "".join(sorted(set(initials))), sorted(set(trade)), name_keys(core)
 
 
 def name_keys(core: list[str]) -> list[str]:
@@ -268,7 +268,7 @@ def common_words(folded_values: DataFrame) -> tuple[dict[str, int], int]:
 
 
 _LIST = pa.list_(pa.string())
-NAME_FIELDS = {"core": pa.string(), "core_sorted": pa.string(), "given": _LIST, "initials": pa.string(), "trade": _LIST, "name_keys": _LIST}
+NAME_FIELDS = {"core": pa.string(), "core_sorted": pa.string(), "core_words": _LIST, "given": _LIST, "initials": pa.string(), "trade": _LIST, "name_keys": _LIST}
 ADDRESS_FIELDS = {"house": pa.string(), "post": pa.string(), "kinds": _LIST, "street": pa.string(), "words": _LIST, "places": _LIST, "address_keys": _LIST}
 
 
