@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Texts that only say that nothing is known (lower case, trimmed).
 MISSING = ("", "?", "??", "-", "--", "---", ".", "n/a", "n.a.", "none", "null", "nan", "nil", "unknown", "not given", "not known", "not available", "tbc", "tbd")
 
+BLANKS = " \t\n\r\x0b\x0c\x85\xa0\u2002\u2003\u2004\u2005\u2007\u2009\u200b\u202f\u3000\ufeff"
+
 # Spellings of countries, lower case.
 COUNTRIES = {
     "US": "us usa u.s. u.s.a. united_states united_states_of_america",
@@ -33,7 +35,7 @@ COUNTRY_OF = {word.replace("_", " "): code for code, words in COUNTRIES.items()
 
 
 def is_missing(c: Column) -> Column:
-    return c.isNull() | F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " "))).isin(*MISSING)
+    return c.isNull() | F.lower(F.trim(c, F.lit(BLANKS))).isin(*MISSING)
 
 
 def country_code(c: Column) -> Column:
