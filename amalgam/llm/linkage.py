@@ -23,7 +23,7 @@ def core_similarity(p: str = "1", q: str = "2") -> Column:
     Of two names of two words each word must have its partner (a word cut short counts); where words are run together or left
     out, the names as a whole must be closer.
     """
-    v, w = F.col(f"core_words{p}"), F.col(f"core_words{q}")
+    v, w = F.split(F.col(f"core{p}"), " "), F.split(F.col(f"core{q}"), " ")
 
     def word(x: Column, y: Column) -> Column:
         short = (F.least(F.length(x), F.length(y)) >= 4) & (F.startswith(x, y) | F.startswith(y, x))
@@ -31,7 +31,8 @@ def core_similarity(p: str = "1", q: str = "2") -> Column:
 
     a, b, c, d = F.get(v, 0), F.get(v, 1), F.get(w, 0), F.get(w, 1)
     paired = F.greatest(F.least(word(a, c), word(b, d)), F.least(word(a, d), word(b, c))) >= 0.62
-    whole = F.greatest(similar(F.col(f"core{p}"), F.col(f"core{q}")), similar(F.col(f"core_sorted{p}"), F.col(f"core_sorted{q}")))
+    joined = lambda n: F.replace(F.col(f"core{n}"), F.lit(" "), F.lit(""))
+    whole = F.greatest(similar(joined(p), joined(q)), similar(F.col(f"core_sorted{p}"), F.col(f"core_sorted{q}")))
     two = (F.size(v) == 2) & (F.size(w) == 2)
     return F.when(whole >= 1, whole).when(F.when(two, (whole >= 0.65) & paired).otherwise(whole >= 0.79), whole).otherwise(0.0)
 
@@ -94,11 +95,13 @@ def side(df: DataFrame, n: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(c + n) for c in df.columns])
 
 
-def fit(levels: np.ndarray, counts: np.ndarray, m: list[list[float]], u: list[list[float]], prior: float = 0.5, rounds: int = 200) -> np.ndarray:
+def fit(levels: np.ndarray, counts: np.ndarray, m: list[list[float]], u: list[list[float]], silent: list[int | None] | None = None, prior: float = 0.5, rounds: int = 200) -> np.ndarray:
     """The posterior of each pattern, by expectation-maximization from the given starts.
 
-    Each level keeps a little of its starting probability, so that levels never seen don't decide.
+    Each level keeps a little of its starting probability, so that levels never seen don't decide. A field's silent level
+    (nothing to compare) says nothing for or against a match.
     """
+    silent = silent or [None] * levels.shape[1]
     m_, u_ = [np.array(x) / sum(x) for x in m], [np.array(x) / sum(x) for x in u]
     m0, u0 = [x.copy() for x in m_], [x.copy() for x in u_]
     total = counts.sum()
@@ -107,8 +110,9 @@ def fit(levels: np.ndarray, counts: np.ndarray, m: list[list[float]], u: list[li
     for _ in range(rounds):
         a, b = np.full(len(levels), np.log(prior)), np.full(len(levels), np.log1p(-prior))
         for f in range(levels.shape[1]):
-            a += np.log(m_[f][levels[:, f]])
-            b += np.log(u_[f][levels[:, f]])
+            told = levels[:, f] != silent[f] if silent[f] is not None else np.full(len(levels), True)
+            a += np.where(told, np.log(m_[f][levels[:, f]]), 0)
+            b += np.where(told, np.log(u_[f][levels[:, f]]), 0)
         new = 1 / (1 + np.exp(np.clip(b - a, -500, 500)))
         done = np.abs(new - post).max() < 1e-6
         post = new
@@ -117,18 +121,21 @@ def fit(levels: np.ndarray, counts: np.ndarray, m: list[list[float]], u: list[li
         for f in range(levels.shape[1]):
             for p, start, w in ((m_, m0, counts * post), (u_, u0, counts * (1 - post))):
                 x = np.bincount(levels[:, f], w, len(p[f])) + keep * start[f]
+                if silent[f] is not None:
+                    x[silent[f]] = 1e-9
                 p[f] = x / x.sum()
         prior = float(np.clip((counts @ post + 1) / (total + 2), 1e-3, 1 - 1e-3))
     return post
 
 
-def with_confidence(pairs: DataFrame, fields: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
-    """pairs with `confidence`; fields: for each column of levels where the match and the non-match class start from."""
+def with_confidence(pairs: DataFrame, fields: dict[str, tuple]) -> DataFrame:
+    """pairs with `confidence`; fields: for each column of levels where the match and the non-match
+    class start from and, as a third, the level that says nothing."""
     names = list(fields)
     seen = pairs.groupBy(*names).count().collect()  # at most as many rows as there are patterns
     if not seen:
         return pairs.withColumn("confidence", F.lit(0.0))
     levels, counts = np.array([[r[n] for n in names] for r in seen]), np.array([r["count"] for r in seen], float)
-    post = fit(levels, counts, [fields[n][0] for n in names], [fields[n][1] for n in names])
+    post = fit(levels, counts, [fields[n][0] for n in names], [fields[n][1] for n in names], [(*fields[n], None)[2] for n in names])
     patterns = pairs.sparkSession.createDataFrame([(*map(int, x), float(p)) for x, p in zip(levels, post)], ", ".join(f"{n} int" for n in names) + ", confidence double")
     return pairs.join(F.broadcast(patterns), names)

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,7 +136,7 @@ class NameParser:
         self.given = Nearby(FORMAL, 5)
 
     def __call__(self, folded_name: str) -> tuple:
-        """core (in order), core sorted, its words, given names it may mean, initials, trades, keys."""
+        """core (its words in order), core sorted and run together, given names it may mean, initials, trades, keys."""
         words = name_words(folded_name)
         core, given, initials, trade, firm = [], [], [], [], False
         for w in words:
@@ -161,10 +162,14 @@ class NameParser:
         if not core:
             core = [w for w in words if w not in LEGAL and (len(w) > 1 or not w.isascii())] or words
             trade, given = [], []
-        return "".join(core), "".join(sorted(core)), core, sorted(set(given)), "" if firm or given else "".join(sorted(set(initials))), sorted(set(trade)), name_keys(core)
+        return " ".join(core), "".join(sorted(core)), sorted(set(given)), "" if firm or given else "".join(sorted(set(initials))), sorted(set(trade)), name_keys(core)
 
 
-def name_keys(core: list[str]) -> list[str]:
+def _hashed(keys) -> list[int]:
+    return [xxhash.xxh64_intdigest(k) >> 1 for k in keys]
+
+
+def name_keys(core: list[str]) -> list[int]:
     """Pairs of n-grams at the ends of the words of a name: two spellings share one unless each pair is hit by a slip."""
     if not core:
         return []
@@ -172,7 +177,7 @@ def name_keys(core: list[str]) -> list[str]:
     joined = "".join(core)
     keys = {f"x{joined[:n]}{joined[-n:]}", f"y{joined[: n + 2]}{joined[-1:]}", f"z{joined[:1]}{joined[-n - 2 :]}"}
     if len(core) == 1:
-        return sorted(keys)
+        return _hashed(sorted(keys))
     if len(core) > 3:
         core = sorted(core, key=len)[-3:]
     for i, a in enumerate(core):
@@ -181,7 +186,7 @@ def name_keys(core: list[str]) -> list[str]:
                 keys.add(f"x{x[:n]}{y[-n:]}")
             keys.add("p" + "".join(sorted((a[:n], b[:n]))))
             keys.add("s" + "".join(sorted((a[-n:], b[-n:]))))
-    return sorted(keys)
+    return _hashed(sorted(keys))
 
 
 class AddressParser:
@@ -191,7 +196,7 @@ class AddressParser:
         self.place = Nearby((w for w in self.common - self.generic if w not in KIND and w not in ASIDE), 4)
 
     def __call__(self, s: str, country: str | None) -> tuple:
-        """house number, postcode, kinds of street, street, its words, places, keys; of a folded address."""
+        """house number, postcode, kinds of street, street, its words, places, keys (the most telling first); of a folded address."""
         s = UNIT.sub(" ; ", s)
         post = ""
         for p in POSTCODES:
@@ -234,11 +239,10 @@ class AddressParser:
         keys = []
         if house:
             n = 3 if joined.isascii() else 2
-            for w in sorted(street, key=len)[-4:]:
-                keys += [f"{house}<{w[:n]}", f"{house}>{w[-n:]}"]
-            if post:
-                keys.append(f"{house}={post}")
-        return house, post, sorted(set(kinds)), joined, sorted(set(street)), sorted(set(places)), sorted(set(keys))
+            longest = sorted(street, key=len)[:-5:-1]
+            keys = [f"{house}={post}"] if post else []
+            keys += [f"{house}<{w[:n]}" for w in longest] + [f"{house}>{w[-n:]}" for w in longest]
+        return house, post, sorted(set(kinds)), joined, sorted(set(street)), sorted(set(places)), _hashed(dict.fromkeys(keys))
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,11 +252,11 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def folded_records(df: DataFrame, id_col: Column, name: bool = True, address: bool = True) -> DataFrame:
-    """(id, code, name, address): each combination once, names and addresses folded, null where missing; written."""
+    """(id, code, name, address): each combination as stored once, names and addresses folded, null where missing; written."""
     value = lambda c, on: (F.when(~is_missing(F.col(c)), F.col(c)) if on else F.lit(None)).cast("string")
-    rows = df.select(id_col.alias("id"), country_code(F.col("country")).alias("code"), value("business_name", name).alias("name"), value("business_address", address).alias("address"))
+    rows = df.select(id_col.alias("id"), (country_code(F.col("country")) if address else F.lit(None).cast("string")).alias("code"), value("business_name", name).alias("name"), value("business_address", address).alias("address"))
     rows = rows.where(F.col("name").isNotNull() | F.col("address").isNotNull()).distinct()
-    return cut(rows.mapInArrow(_folded, "id string, code string, name string, address string").distinct())
+    return cut(rows.mapInArrow(_folded, "id string, code string, name string, address string"))
 
 
 def common_words(folded_values: DataFrame) -> tuple[dict[str, int], int]:
@@ -262,18 +266,19 @@ def common_words(folded_values: DataFrame) -> tuple[dict[str, int], int]:
     """
     col = folded_values.columns[0]
     distinct = folded_values.where(F.col(col).isNotNull()).distinct()
-    words = distinct.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(col), F.lit(r"(\p{L}+)"), F.lit(1)))).alias("w"))
+    found = F.array_distinct(F.regexp_extract_all(F.col(col), F.lit(r"(\p{L}+)"), F.lit(1)))
+    counted = distinct.select(F.explode(found).alias("w")).groupBy("w").count()
     total = distinct.count()
-    return {r.w: r["count"] for r in words.groupBy("w").count().where(F.col("count") >= max(4.0, COMMON * total)).collect()}, total
+    return {r.w: r["count"] for r in counted.where((F.col("count") >= max(4.0, COMMON * total))).collect()}, total
 
 
-_LIST = pa.list_(pa.string())
-NAME_FIELDS = {"core": pa.string(), "core_sorted": pa.string(), "core_words": _LIST, "given": _LIST, "initials": pa.string(), "trade": _LIST, "name_keys": _LIST}
-ADDRESS_FIELDS = {"house": pa.string(), "post": pa.string(), "kinds": _LIST, "street": pa.string(), "words": _LIST, "places": _LIST, "address_keys": _LIST}
+_LIST, _KEYS = pa.list_(pa.string()), pa.list_(pa.int64())
+NAME_FIELDS = {"core": pa.string(), "core_sorted": pa.string(), "given": _LIST, "initials": pa.string(), "trade": _LIST, "name_keys": _KEYS}
+ADDRESS_FIELDS = {"house": pa.string(), "post": pa.string(), "kinds": _LIST, "street": pa.string(), "words": _LIST, "places": _LIST, "address_keys": _KEYS}
 
 
 def _ddl(fields: dict[str, pa.DataType]) -> str:
-    return ", ".join(f"{k} {'string' if t == pa.string() else 'array<string>'}" for k, t in fields.items())
+    return ", ".join(f"{k} {'string' if t == pa.string() else 'array<string>' if t == _LIST else 'array<bigint>'}" for k, t in fields.items())
 
 
 def parsed(rows: DataFrame, names: tuple[dict[str, int], int] | None, addresses: tuple[dict[str, int], int] | None) -> DataFrame:
