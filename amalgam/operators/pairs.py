@@ -109,11 +109,12 @@ def tfidf_cosine(pairs: DataFrame, weights: DataFrame | None = None) -> DataFram
         kept = counted.groupBy("gram").agg(F.sum(F.col("tf") * F.col("m")).alias("total"), F.sum("m").alias("df")).orderBy(F.desc("total"), "gram").limit(50_000)
         weights = kept.select("gram", (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1).alias("idf"))
     vectors = grams(both.distinct().select(F.col("t").alias("doc"), "t")).join(weights, "gram").select("doc", "gram", (F.col("tf") * F.col("idf")).alias("w"))
-    packed = vectors.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    side = lambda n: packed.select(F.col("doc").alias(f"text_{n}"), F.col("v").alias(f"v{n}"), F.col("norm").alias(f"norm{n}"))
-    joined = pairs.select(*KEY, "text_1", "text_2").distinct().join(side(1), "text_1", "left").join(side(2), "text_2", "left")
-    product = F.aggregate(F.map_entries("v1"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at(F.col("v2"), e["key"]), F.lit(0.0)))
-    return joined.select(*KEY, "text_1", "text_2", F.coalesce(F.try_divide(product, F.col("norm1") * F.col("norm2")), F.lit(0.0)).alias("tfidf_cosine"))
+    norms = vectors.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    side = lambda df, n, *cols: df.select(F.col("doc").alias(f"text_{n}"), *[F.col(c).alias(f"{c}{n if c != 'gram' else ''}") for c in cols])
+    texts = pairs.select("text_1", "text_2").distinct()
+    product = texts.join(side(vectors, 1, "gram", "w"), "text_1").join(side(vectors, 2, "gram", "w"), ["text_2", "gram"]).groupBy("text_1", "text_2").agg(F.sum(F.col("w1") * F.col("w2")).alias("p"))
+    joined = pairs.select(*KEY, "text_1", "text_2").distinct().join(product, ["text_1", "text_2"], "left").join(side(norms, 1, "norm"), "text_1", "left").join(side(norms, 2, "norm"), "text_2", "left")
+    return joined.select(*KEY, "text_1", "text_2", F.coalesce(F.try_divide("p", F.col("norm1") * F.col("norm2")), F.lit(0.0)).alias("tfidf_cosine"))
 
 
 def overridden(predicted: Column) -> Column:

@@ -254,13 +254,13 @@ pair_query("sim_jaro_winkler", lambda c: S.jaro_winkler(c["n1"], c["n2"]), None)
 pair_query("sim_partial_token_set", lambda c: S.partial_token_set(c["n1"], c["n2"]), None)
 
 
-TEXTS = f"""{JOINED}, d AS (SELECT DISTINCT source1_entity_id, candidate_entity_id, pos, n1, a1, n2, a2, n1 || ' ' || a1 AS text_1, n2 || ' ' || a2 AS text_2 FROM joined),
-docs AS (SELECT text_1 AS t FROM d UNION ALL SELECT text_2 FROM d), times AS (SELECT t, count(*) AS m FROM docs GROUP BY t),
+TEXTS = f"""{JOINED}, d AS MATERIALIZED (SELECT DISTINCT source1_entity_id, candidate_entity_id, pos, n1, a1, n2, a2, n1 || ' ' || a1 AS text_1, n2 || ' ' || a2 AS text_2 FROM joined),
+docs AS MATERIALIZED (SELECT text_1 AS t FROM d UNION ALL SELECT text_2 FROM d), times AS MATERIALIZED (SELECT t, count(*) AS m FROM docs GROUP BY t),
 gs AS (SELECT t, m, unnest(list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3))) AS gram FROM (SELECT t, m, {spaced('t')} AS x FROM times)),
-tf AS (SELECT t, m, gram, count(*) AS tf FROM gs GROUP BY ALL),
-idf AS (SELECT gram, ln((1 + (SELECT count(*) FROM docs)) / (1 + sum(m))) + 1 AS idf FROM tf GROUP BY gram ORDER BY sum(tf * m) DESC, gram LIMIT 50000),
-v AS (SELECT t, gram, tf * idf AS w FROM tf JOIN idf USING (gram)), norms AS (SELECT t, sqrt(sum(w * w)) AS norm FROM v GROUP BY t),
-tp AS (SELECT DISTINCT text_1, text_2 FROM d), prod AS (SELECT text_1, text_2, sum(x.w * y.w) AS p FROM tp JOIN v x ON x.t = text_1 JOIN v y ON y.t = text_2 AND y.gram = x.gram GROUP BY 1, 2)"""
+tf AS MATERIALIZED (SELECT t, m, gram, count(*) AS tf FROM gs GROUP BY ALL),
+idf AS MATERIALIZED (SELECT gram, ln((1 + (SELECT count(*) FROM docs)) / (1 + sum(m))) + 1 AS idf FROM tf GROUP BY gram ORDER BY sum(tf * m) DESC, gram LIMIT 50000),
+v AS MATERIALIZED (SELECT t, gram, tf * idf AS w FROM tf JOIN idf USING (gram)), norms AS MATERIALIZED (SELECT t, sqrt(sum(w * w)) AS norm FROM v GROUP BY t),
+tp AS MATERIALIZED (SELECT DISTINCT text_1, text_2 FROM d), prod AS (SELECT text_1, text_2, sum(x.w * y.w) AS p FROM tp JOIN v x ON x.t = text_1 JOIN v y ON y.t = text_2 AND y.gram = x.gram GROUP BY 1, 2)"""
 
 
 @query(f"""WITH {TEXTS} SELECT DISTINCT source1_entity_id, candidate_entity_id, round(coalesce(p / (a.norm * b.norm), 0), 6) AS tfidf_cosine, md5(text_1) AS t1, md5(text_2) AS t2
