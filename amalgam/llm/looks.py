@@ -19,10 +19,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from amalgam.functions.values import is_missing
+from amalgam.sources.tables import cut
 
 # Letters that look like a Latin one, by script.
 LOOKALIKES = {
@@ -74,9 +75,7 @@ def plain(value: str) -> str:
     if value.isascii() and value.isprintable() and "  " not in value:
         return value.strip(" ")
     if not value.isascii():
-        if not unicodedata.is_normalized("NFC", value) or not value.isalpha():
-            value = "".join(map(_char, value))
-        value = unicodedata.normalize("NFC", value)
+        value = unicodedata.normalize("NFC", "".join(map(_char, value)))
     lines = [" ".join(x for x in line.split(" ") if x) for line in "".join(_char(c) if c < " " else c for c in value).replace("\r\n", "\n").replace("\r", "\n").split("\n")]
     return "\n".join(lines).strip()
 
@@ -138,16 +137,17 @@ def visual_forms(values: DataFrame) -> DataFrame:
     col = values.columns[0]
     distinct = values.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct()
     forms = distinct.mapInArrow(_forms, "value string, tokens array<string>, repairs array<string>")
+    forms = cut(forms.withColumn("vid", F.md5("value")))  # tokens travel with a short id, however long their value is
+    repair = F.filter("repairs", lambda r: r.isNotNull())
     each = forms.select(F.explode(F.array_distinct(F.transform("tokens", lambda t, i: F.coalesce(F.get("repairs", i), t)))).alias("token"))
-    wanted = forms.select(F.explode(F.filter("repairs", lambda r: r.isNotNull())).alias("token")).distinct()
+    wanted = forms.select(F.explode(repair).alias("token")).distinct()
     vocabulary = each.join(wanted, "token", "left_semi").groupBy("token").count().where("count >= 2").select("token")
-    mixed = forms.where(F.exists("repairs", lambda r: r.isNotNull())).select("value", F.posexplode(F.arrays_zip("tokens", "repairs")).alias("pos", "t"))
-    mixed = mixed.select("value", "pos", F.col("t.tokens").alias("was"), F.col("t.repairs").alias("token"))
-    chosen = mixed.join(vocabulary.withColumn("known", F.lit(True)), "token", "left")
-    chosen = chosen.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("known"), F.col("token")).otherwise(F.col("was")).alias("t")))).alias("ts"))
     joined = lambda ts: F.replace(F.array_join(ts, " "), F.lit(" \n "), F.lit("\n"))
-    plain_only = forms.where(~F.exists("repairs", lambda r: r.isNotNull())).select("value", joined(F.col("tokens")).alias("form"))
-    return plain_only.unionByName(chosen.select("value", joined(F.transform("ts", lambda x: x["t"])).alias("form")))
+    known = forms.select("vid", F.explode(F.array_distinct(repair)).alias("token")).join(vocabulary, "token").groupBy("vid").agg(F.collect_set("token").alias("known"))
+    chosen = F.transform("tokens", lambda t, i: F.when(F.array_contains(F.col("known"), F.get("repairs", i)), F.get("repairs", i)).otherwise(t))
+    plain_only = forms.where(F.size(repair) == 0).select("value", joined(F.col("tokens")).alias("form"))
+    mixed = forms.where(F.size(repair) > 0).join(known, "vid", "left")
+    return plain_only.unionByName(mixed.select("value", joined(F.when(F.col("known").isNull(), F.col("tokens")).otherwise(chosen)).alias("form")))
 
 
 def with_visual_forms(df: DataFrame, columns: list[str], suffix: str = "_form") -> DataFrame:
@@ -173,7 +173,3 @@ def same_looking_pairs(df: DataFrame, id_col: str, columns: list[str]) -> DataFr
     b = formed.select(F.col(id_col).alias("entity_id_2"), *forms, F.array(*columns).alias("stored_2"))
     both = a.join(b, forms).where((F.col("entity_id_1") < F.col("entity_id_2")) & (F.col("stored_1") != F.col("stored_2")))
     return both.select("entity_id_1", "entity_id_2").distinct()
-
-
-def missing_form(c: Column) -> Column:
-    return F.when(is_missing(c), None).otherwise(c)
