@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from amalgam.functions.values import clean_id
+from amalgam.functions.values import BLANKS, MISSING, clean_id
 from amalgam.llm import groups, looks, matching, mixing, names, pieces, places, survivors, tokens
+from amalgam.plans.skewed import CLEAN
 from amalgam.sources.tables import table
 
 
@@ -79,4 +80,21 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p7_found": p7_found, "p6_found": p6_found, "p6_records": p6_records, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
-ORACLE: dict[str, str] = {}
+SPACES = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]+$"
+
+
+def _kept(field: int, column: str) -> str:
+    """SQL: the bare values of a column that say something."""
+    words = ", ".join(f"'{w}'" for w in MISSING)
+    bare = f"regexp_replace(regexp_replace(regexp_replace({column}, '{SPACES}', ''), '(\\.\\.\\.|…)$', ''), '{SPACES}', '')"
+    return f"SELECT id, {field} AS f, ord, updated_at, {bare} AS v FROM r WHERE {column} IS NOT NULL AND lower(trim({column}, '{BLANKS}')) NOT IN ({words})"
+
+
+ORACLE: dict[str, str] = {
+    "p6_found": f"""WITH r AS MATERIALIZED (SELECT id, ord, updated_at, business_name, business_address FROM {CLEAN}),
+ v AS MATERIALIZED ({_kept(0, 'business_name')} UNION ALL {_kept(1, 'business_address')}),
+ best AS (SELECT id, f, arg_max(ord, struct_pack(u := coalesce(updated_at, '0001-01-01'::TIMESTAMP), o := ord)) AS ord FROM v a
+  WHERE NOT EXISTS (SELECT 1 FROM v b WHERE b.id = a.id AND b.f = a.f AND b.v <> a.v AND starts_with(b.v, a.v)) GROUP BY 1, 2)
+ SELECT id AS entity_id, max(CASE WHEN f = 0 THEN best.ord END) AS name_ord, max(CASE WHEN f = 1 THEN best.ord END) AS address_ord
+ FROM (SELECT id FROM r GROUP BY id HAVING count(*) > 1) g LEFT JOIN best USING (id) GROUP BY 1""",
+}
