@@ -17,6 +17,15 @@ def similar(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
+def joined(n: str) -> Column:
+    """The words of a name run together."""
+    return F.replace(F.col(f"core{n}"), F.lit(" "), F.lit(""))
+
+
+def joined_sorted(n: str) -> Column:
+    return F.array_join(F.array_sort(F.split(F.col(f"core{n}"), " ")), "")
+
+
 def core_similarity(p: str = "1", q: str = "2") -> Column:
     """Of two names: the words in the order written or sorted, whichever fits better; 0 if only some of the words agree.
 
@@ -31,8 +40,7 @@ def core_similarity(p: str = "1", q: str = "2") -> Column:
 
     a, b, c, d = F.get(v, 0), F.get(v, 1), F.get(w, 0), F.get(w, 1)
     paired = F.greatest(F.least(word(a, c), word(b, d)), F.least(word(a, d), word(b, c))) >= 0.62
-    joined = lambda n: F.replace(F.col(f"core{n}"), F.lit(" "), F.lit(""))
-    whole = F.greatest(similar(joined(p), joined(q)), similar(F.col(f"core_sorted{p}"), F.col(f"core_sorted{q}")))
+    whole = F.greatest(similar(joined(p), joined(q)), similar(joined_sorted(p), joined_sorted(q)))
     two = (F.size(v) == 2) & (F.size(w) == 2)
     return F.when(whole >= 1, whole).when(F.when(two, (whole >= 0.65) & paired).otherwise(whole >= 0.79), whole).otherwise(0.0)
 

@@ -136,7 +136,7 @@ class NameParser:
         self.given = Nearby(FORMAL, 5)
 
     def __call__(self, folded_name: str) -> tuple:
-        """core (its words in order), core sorted and run together, given names it may mean, initials, trades, keys."""
+        """core (its words in order), given names it may mean, initials, trades, keys, sketch."""
         words = name_words(folded_name)
         core, given, initials, trade, firm = [], [], [], [], False
         for w in words:
@@ -162,13 +162,21 @@ class NameParser:
         if not core:
             core = [w for w in words if w not in LEGAL and (len(w) > 1 or not w.isascii())] or words
             trade, given = [], []
-        return " ".join(core), "".join(sorted(core)), sorted(set(given)), "" if firm or given else "".join(sorted(set(initials))), sorted(set(trade)), name_keys(core)
+        return " ".join(core), sorted(set(given)), "" if firm or given else "".join(sorted(set(initials))), sorted(set(trade)), name_keys(core), sketch("".join(core))
 
 
 def _hashed(keys) -> list[int]:
     return [xxhash.xxh64_intdigest(k) >> 1 for k in keys]
 
 
+def sketch(joined: str) -> int:
+    """63 bits, those of the pairs of letters of a name set: names a few edits apart have most of them in common."""
+    out = 0
+    for a, b in zip(joined, joined[1:]):
+        out |= 1 << (ord(a) * 31 + ord(b)) % 63
+    return out
+
+
 def name_keys(core: list[str]) -> list[int]:
     """Pairs of n-grams at the ends of the words of a name: two spellings share one unless each pair is hit by a slip."""
     if not core:
@@ -273,12 +281,15 @@ def common_words(folded_values: DataFrame) -> tuple[dict[str, int], int]:
 
 
 _LIST, _KEYS = pa.list_(pa.string()), pa.list_(pa.int64())
-NAME_FIELDS = {"core": pa.string(), "core_sorted": pa.string(), "given": _LIST, "initials": pa.string(), "trade": _LIST, "name_keys": _KEYS}
+NAME_FIELDS = {"core": pa.string(), "given": _LIST, "initials": pa.string(), "trade": _LIST, "name_keys": _KEYS, "sketch": pa.int64()}
 ADDRESS_FIELDS = {"house": pa.string(), "post": pa.string(), "kinds": _LIST, "street": pa.string(), "words": _LIST, "places": _LIST, "address_keys": _KEYS}
 
 
+_DDL = {pa.string(): "string", pa.int64(): "bigint", _LIST: "array<string>", _KEYS: "array<bigint>"}
+
+
 def _ddl(fields: dict[str, pa.DataType]) -> str:
-    return ", ".join(f"{k} {'string' if t == pa.string() else 'array<string>' if t == _LIST else 'array<bigint>'}" for k, t in fields.items())
+    return ", ".join(f"{k} {_DDL[t]}" for k, t in fields.items())
 
 
 def parsed(rows: DataFrame, names: tuple[dict[str, int], int] | None, addresses: tuple[dict[str, int], int] | None) -> DataFrame:
