@@ -27,7 +27,7 @@ from amalgam.llm.records import common_words, folded_records, parsed
 from amalgam.sources.tables import cut
 
 SLOTS = 1 << 16
-LINK, JOIN, EDITS = 0.28, 0.3, 0.65
+LINK, JOIN = 0.28, 0.3
 ROUNDS, MOST_ROUNDS = 4, 40
 NAME = ["core", "given", "initials", "trade"]
 
@@ -79,22 +79,23 @@ def _cosines(square: np.ndarray):
     return run
 
 
-#: Names further apart than this aren't the same whatever their length.
-MOST_EDITS = 8
-#: The part of the smaller sketch that close names share at least. An edit changes two pairs of letters, so names within the edits
-#: allowed that share less than this are those of a few signs, which are let through.
-SHARED, FEW_SIGNS = 0.34, 9
-
-
 def core_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(core1, core2, edits): names of two tables (core, sketch, name_keys) that share a key and are close, each pair once."""
+    """(core1, core2, edits): names of two tables (core, sketch, name_keys) that share a key and are close, each pair once.
+
+    What is tested before the exact similarity loses none of it: the edits that core_similarity() allows for the length bound the
+    difference of lengths, the bounded edit distance and the pairs of letters lost (two for each edit, and one for each seam of words,
+    since words may be sorted first).
+    """
     keyed = lambda x, n: L.side(x.where("core <> ''").dropDuplicates(["core"]).select("core", "sketch", F.explode("name_keys").alias("key")), n)
     both = keyed(left, "1").join(keyed(right, "2"), F.col("key1") == F.col("key2"))
-    length = F.abs(F.length("core1") - F.length("core2")) <= (1 - EDITS) * F.greatest(F.length("core1"), F.length("core2")) + 2
-    near = (F.levenshtein(L.joined("1"), L.joined("2"), MOST_EDITS) >= 0) | (F.levenshtein(L.joined_sorted("1"), L.joined_sorted("2"), MOST_EDITS) >= 0)
+    n1, n2 = F.length(L.joined("1")), F.length(L.joined("2"))
+    seams1, seams2 = (F.length(f"core{n}") - F.length(L.joined(n)) for n in "12")
+    allowed = F.floor(F.greatest(n1, n2) * F.when((seams1 == 1) & (seams2 == 1), 0.35).otherwise(0.21) + 1e-6).cast("int")
+    both = both.withColumn("allowed", allowed).where(F.abs(n1 - n2) <= F.col("allowed"))
     bits = lambda c: F.bit_count(c)
-    alike = (bits(F.col("sketch1").bitwiseAND(F.col("sketch2"))) >= SHARED * F.least(bits("sketch1"), bits("sketch2"))) | (F.length("core1") <= FEW_SIGNS)
-    close = both.where(length & alike).where(near).select("core1", "core2").distinct()
+    alike = bits(F.col("sketch1").bitwiseAND(F.col("sketch2"))) >= F.greatest(bits("sketch1"), bits("sketch2")) - 2 * F.col("allowed") - seams1 - seams2
+    within = lambda f: F.call_function("levenshtein", f("1"), f("2"), F.col("allowed")) >= 0
+    close = both.where(alike).where(within(L.joined) | within(L.joined_sorted)).select("core1", "core2").distinct()
     return close.select("core1", "core2", L.core_similarity().alias("edits")).where("edits > 0")
 
 
