@@ -4,8 +4,8 @@ Names are folded and parsed; each distinct name counts once. A distributed spars
 n-grams at the ends of their words and are within a few edits; their similarity is the cosine of weighted character n-gram vectors
 (weights: inverse document frequency over all names, counted in hashed slots, so the table of weights has a fixed size). All pairs above the
 threshold are kept, not only a best few. They are grouped by average-linkage clustering over the pairs between the two sources: in
-each round all clusters that are each other's nearest are merged, which gives the same clusters as merging one pair at a time.
-After ROUNDS rounds, single names left over join their nearest cluster together.
+each round all clusters that are each other's nearest are merged, which gives the same clusters as merging one pair at a time. Once
+at most REST edges are above the threshold, one task merges what is left, pair by pair. It ends when no pair of clusters is left to merge.
 
 Defined results: missing names match nothing; equal names match; names of legal forms or trades only are compared as written; repeated
 rows give a pair once; empty tables give no rows. A given name or initial that contradicts, and a different trade, keep names apart, and so do
@@ -14,6 +14,7 @@ words without a partner in the other name.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,8 @@ from amalgam.sources.tables import cut
 
 SLOTS = 1 << 16
 LINK, JOIN = 0.28, 0.3
-ROUNDS, MOST_ROUNDS = 4, 40
+#: Rounds after which an error is raised; edges above the threshold that one task can merge.
+ROUNDS, REST = 200, 200_000
 NAME = ["core", "given", "initials", "trade"]
 
 
@@ -104,6 +106,42 @@ def with_cosine(pairs: DataFrame, cores: DataFrame) -> DataFrame:
     return pairs.mapInArrow(_cosines(weights(cores)), f"{schema}, cosine double")
 
 
+def _merge_all(least: float):
+    """Merges the clusters of edges (x, y, s, x1, x2, y1, y2), the nearest two first: (old, new)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near: dict[str, dict[str, float]] = {}
+        size: dict[str, tuple[int, int]] = {}
+        for b in batches:
+            for x, y, s, *n in zip(*(b.column(c).to_pylist() for c in ("x", "y", "s", "x1", "x2", "y1", "y2"))):
+                near.setdefault(x, {})[y] = near.setdefault(y, {})[x] = s
+                size[x], size[y] = tuple(n[:2]), tuple(n[2:])
+        mean = lambda x, y: near[x][y] / (size[x][0] * size[y][1] + size[x][1] * size[y][0])
+        heap = [(-m, x, y) for x in near for y in near[x] if x < y and (m := mean(x, y)) >= least]
+        heapq.heapify(heap)
+        into: dict[str, str] = {}
+        while heap:
+            m, x, y = heapq.heappop(heap)
+            if y not in near.get(x, ()) or mean(x, y) != -m:
+                continue
+            for z, s in near.pop(y).items():
+                del near[z][y]
+                if z != x:
+                    near[x][z] = near[z][x] = near[x].get(z, 0.0) + s
+            size[x] = (size[x][0] + size[y][0], size[x][1] + size[y][1])
+            into[y] = x
+            for z in near[x]:
+                if (m := mean(x, z)) >= least:
+                    heapq.heappush(heap, (-m, min(x, z), max(x, z)))
+        old = list(into)
+        for k in old:
+            while into[k] in into:
+                into[k] = into[into[k]]
+        yield pa.RecordBatch.from_arrays([pa.array(old, pa.string()), pa.array([into[k] for k in old], pa.string())], ["old", "new"])
+
+    return run
+
+
 def average_linkage(edges: DataFrame, least: float) -> DataFrame:
     """(node, cluster) from edges (a, b, s) between nodes of two kinds, a of the first and b of the second; nodes are strings.
 
@@ -114,32 +152,39 @@ def average_linkage(edges: DataFrame, least: float) -> DataFrame:
     one = lambda c: F.when(c, 1).otherwise(0)
     at = edges.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "s", one(first).alias("x1"), one(~first).alias("x2"), one(~first).alias("y1"), one(first).alias("y2"))
     member = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("cluster", F.col("node"))
-    for k in range(MOST_ROUNDS):
-        good = at.withColumn("mean", F.col("s") / (F.col("x1") * F.col("y2") + F.col("x2") * F.col("y1"))).where(F.col("mean") >= least)
+    mean = F.col("s") / (F.col("x1") * F.col("y2") + F.col("x2") * F.col("y1"))
+    moved = lambda moves: member.join(moves.select("old", "new"), F.col("cluster") == F.col("old"), "left").select("node", F.coalesce("new", "cluster").alias("cluster"))
+    left = at.where(mean >= least).count()
+    for _ in range(ROUNDS):
+        good = at.withColumn("mean", mean).where(F.col("mean") >= least)
+        if left <= REST:  # an edge can only rise above the threshold by a merge if both its ends have one above it
+            tips = good.select(F.explode(F.array("x", "y")).alias("t")).distinct()
+            seen = Observation()
+            rest = cut(at.join(tips, F.col("x") == F.col("t"), "left_semi").join(tips, F.col("y") == F.col("t"), "left_semi"), seen, F.count("*").alias("n"))
+            if seen.get["n"] <= 2 * REST:
+                return moved(cut(rest.coalesce(1).mapInArrow(_merge_all(least), "old string, new string")))
         ends = [("x", "x1", "x2", "y1", "y2"), ("y", "y1", "y2", "x1", "x2")]
         each = good.select(F.explode(F.array(*[F.struct(F.col(n).alias("node"), F.struct(F.col(a).alias("n1"), F.col(b).alias("n2"), F.col(c).alias("w1"), F.col(d).alias("w2")).alias("z")) for n, a, b, c, d in ends])).alias("e"), F.struct("mean", "x", "y").alias("r"))
         best = each.groupBy("e.node").agg(F.max(F.struct("r", "e.z")).alias("b")).select("node", "b.r.x", "b.r.y", "b.z.*")
-        if k < ROUNDS:  # both ends must agree; the later one moves
-            agreed = best.groupBy("x", "y").agg(F.count("*").alias("k"), F.max_by(F.struct("n1", "n2", "w1", "w2"), "node").alias("z")).where("k = 2")
-            moves = agreed.select(F.col("y").alias("old"), F.col("x").alias("new"), "z.*")
-        else:  # single names follow their nearest cluster, unless that one moves itself
-            follow = best.where("n1 + n2 = 1").select(F.col("node").alias("old"), F.when(F.col("node") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("new"), "n1", "n2", "w1", "w2")
-            follow = follow.join(follow.select(F.col("old").alias("new"), F.col("new").alias("old"), F.lit(True).alias("back")), ["old", "new"], "left").where(F.col("back").isNull() | (F.col("new") < F.col("old"))).drop("back")
-            moves = follow.join(follow.select(F.col("old").alias("new")), "new", "left_anti")
+        # both ends must agree; the later one moves
+        agreed = best.groupBy("x", "y").agg(F.count("*").alias("k"), F.max_by(F.struct("n1", "n2", "w1", "w2"), "node").alias("z")).where("k = 2")
+        moves = agreed.select(F.col("y").alias("old"), F.col("x").alias("new"), "z.*")
         seen = Observation()
         moves = cut(moves, seen, F.count("*").alias("n"))
         if not seen.get["n"]:
-            break
+            return member
         grown = moves.groupBy("new").agg((F.sum("n1") + F.max("w1")).alias("m1"), (F.sum("n2") + F.max("w2")).alias("m2"))
         now = moves.select("old", "new").join(grown, "new").select(F.col("old").alias("was"), "new", "m1", "m2").unionAll(grown.select("new", F.col("new").alias("k"), "m1", "m2"))
-        member = member.join(moves.select("old", "new"), F.col("cluster") == F.col("old"), "left").select("node", F.coalesce("new", "cluster").alias("cluster"))
+        member = moved(moves)
         for c in "xy":
             at = at.join(L.side(now, c), F.col(c) == F.col(f"was{c}"), "left")
         p, q = F.coalesce("newx", "x"), F.coalesce("newy", "y")
         size = {f"{c}{i}": F.coalesce(F.col(f"m{i}{c}"), F.col(f"{c}{i}")) for c in "xy" for i in (1, 2)}
         turned = [F.when(p > q, size[f"{d}{i}"]).otherwise(size[f"{c}{i}"]).alias(f"{c}{i}") for c, d in (("x", "y"), ("y", "x")) for i in (1, 2)]
-        at = cut(at.where(p != q).select(F.least(p, q).alias("x"), F.greatest(p, q).alias("y"), "s", *turned).groupBy("x", "y").agg(F.sum("s").alias("s"), *[F.max(n).alias(n) for n in size]))
-    return member
+        above = Observation()
+        at = cut(at.where(p != q).select(F.least(p, q).alias("x"), F.greatest(p, q).alias("y"), "s", *turned).groupBy("x", "y").agg(F.sum("s").alias("s"), *[F.max(n).alias(n) for n in size]), above, F.count_if(mean >= least).alias("n"))
+        left = above.get["n"]
+    raise RuntimeError(f"average linkage: {left} edges above the threshold after {ROUNDS} rounds")
 
 
 def same_name_pairs(df1: DataFrame, id1, df2: DataFrame, id2) -> DataFrame:
