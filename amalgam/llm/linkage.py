@@ -8,108 +8,24 @@ depend on the number of pairs. A pair's confidence is the posterior of its patte
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def similar(a: Column, b: Column) -> Column:
-    """1 for equal texts, less by each edit."""
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
-
-
-def joined(n: str) -> Column:
-    """The words of a name run together."""
-    return F.replace(F.col(f"core{n}"), F.lit(" "), F.lit(""))
-
-
-def joined_sorted(n: str) -> Column:
-    return F.array_join(F.array_sort(F.split(F.col(f"core{n}"), " ")), "")
-
-
-def core_similarity(p: str = "1", q: str = "2") -> Column:
-    """Of two names: the words in the order written or sorted, whichever fits better; 0 if only some of the words agree.
-
-    Of two names of two words each word must have its partner (a word cut short counts); where words are run together or left
-    out, the names as a whole must be closer.
-    """
-    v, w = F.split(F.col(f"core{p}"), " "), F.split(F.col(f"core{q}"), " ")
-
-    def word(x: Column, y: Column) -> Column:
-        short = (F.least(F.length(x), F.length(y)) >= 4) & (F.startswith(x, y) | F.startswith(y, x))
-        return F.when(short, 1.0).otherwise(similar(x, y))
-
-    a, b, c, d = F.get(v, 0), F.get(v, 1), F.get(w, 0), F.get(w, 1)
-    paired = F.greatest(F.least(word(a, c), word(b, d)), F.least(word(a, d), word(b, c))) >= 0.62
-    whole = F.greatest(similar(joined(p), joined(q)), similar(joined_sorted(p), joined_sorted(q)))
-    two = (F.size(v) == 2) & (F.size(w) == 2)
-    return F.when(whole >= 1, whole).when(F.when(two, (whole >= 0.65) & paired).otherwise(whole >= 0.79), whole).otherwise(0.0)
-
-
-def given_level(p: str = "1", q: str = "2") -> Column:
-    """0 the same given name (or none on both sides), 1 an initial that fits, 2 only one side has one, 3 different ones."""
-    g, h, i, j = F.col(f"given{p}"), F.col(f"given{q}"), F.col(f"initials{p}"), F.col(f"initials{q}")
-    fits = lambda xs, letters: F.exists(xs, lambda x: F.contains(letters, F.left(x, F.lit(1))))
-    no_g, no_h = F.size(g) == 0, F.size(h) == 0
-    return (
-        F.when(no_g & no_h & (i == "") & (j == ""), 0)
-        .when(F.arrays_overlap(g, h), 0)
-        .when((~no_h & (i != "") & fits(h, i)) | (~no_g & (j != "") & fits(g, j)), 1)
-        .when(no_g & no_h & (i != "") & (j != "") & F.contains(i, F.left(j, F.lit(1))), 1)
-        .when((no_g & (i == "")) | (no_h & (j == "")), 2)
-        .otherwise(3)
-    )
-
-
-def trade_level(p: str = "1", q: str = "2") -> Column:
-    """0 a trade in common, 1 one side names none, 2 different trades."""
-    a, b = F.col(f"trade{p}"), F.col(f"trade{q}")
-    return F.when(F.arrays_overlap(a, b), 0).when((F.size(a) == 0) | (F.size(b) == 0), 1).otherwise(2)
-
-
-def house_level(p: str = "1", q: str = "2") -> Column:
-    """0 the same number, 1 missing on a side, 2 different."""
-    a, b = F.col(f"house{p}"), F.col(f"house{q}")
-    return F.when((a == "") | (b == ""), 1).when(a == b, 0).otherwise(2)
-
-
-def street_level(p: str = "1", q: str = "2") -> Column:
-    """0 equal, 1 a slip apart, 2 one is part of the other (words left out), 3 missing on a side, 4 different."""
-    a, b, v, w = F.col(f"street{p}"), F.col(f"street{q}"), F.col(f"words{p}"), F.col(f"words{q}")
-    short, edits = F.least(F.length(a), F.length(b)), F.levenshtein(a, b)
-    part = (short >= 5) & (F.contains(a, b) | F.contains(b, a) | (F.size(F.array_except(v, w)) == 0) | (F.size(F.array_except(w, v)) == 0))
-    slip = (similar(a, b) >= 0.74) | (similar(F.array_join(v, ""), F.array_join(w, "")) >= 0.74) | ((short >= 6) & (edits <= 2)) | ((short <= 4) & (edits <= 1))
-    return F.when((a == "") | (b == ""), 3).when((a == b) | (v == w), 0).when(slip, 1).when(part, 2).otherwise(4)
-
-
-def post_level(p: str = "1", q: str = "2") -> Column:
-    """0 equal, 1 a slip apart, 2 missing on a side, 3 different."""
-    a, b = F.col(f"post{p}"), F.col(f"post{q}")
-    return F.when((a == "") | (b == ""), 2).when(a == b, 0).when(F.levenshtein(a, b) <= 1, 1).otherwise(3)
-
-
-def overlap_level(name: str, p: str = "1", q: str = "2") -> Column:
-    """0 something in common, 1 one side has none, 2 nothing in common."""
-    a, b = F.col(f"{name}{p}"), F.col(f"{name}{q}")
-    return F.when(F.arrays_overlap(a, b), 0).when((F.size(a) == 0) | (F.size(b) == 0), 1).otherwise(2)
-
-
-def code_level(p: str = "1", q: str = "2") -> Column:
-    a, b = F.col(f"code{p}"), F.col(f"code{q}")
-    return F.when(a.isNull() | b.isNull(), 1).when(a == b, 0).otherwise(2)
-
-
 def side(df: DataFrame, n: str) -> DataFrame:
     """df with n behind all its column names."""
     return df.select(*[F.col(f"`{c}`").alias(c + n) for c in df.columns])
 
 
-def fit(levels: np.ndarray, counts: np.ndarray, m: list[list[float]], u: list[list[float]], silent: list[int | None] | None = None, prior: float = 0.5, rounds: int = 200) -> np.ndarray:
+def fit(levels: np.ndarray, counts: np.ndarray, m: list[list[float]], u: list[list[float]], silent: list[int | None] | None = None, pinned: list[tuple[int, ...]] | None = None, prior: float = 0.5, rounds: int = 500) -> np.ndarray:
     """The posterior of each pattern, by expectation-maximization from the given starts.
 
     Each level keeps a little of its starting probability, so that levels never seen don't decide. A field's silent level
-    (nothing to compare) says nothing for or against a match.
+    (nothing to compare) says nothing for or against a match. A pinned level keeps its starting probability among matches: how
+    often a match shows a contradiction isn't to be learned from pairs that agree in all else but are no matches.
     """
     silent = silent or [None] * levels.shape[1]
+    pinned = pinned or [()] * levels.shape[1]
     m_, u_ = [np.array(x) / sum(x) for x in m], [np.array(x) / sum(x) for x in u]
     m0, u0 = [x.copy() for x in m_], [x.copy() for x in u_]
     total = counts.sum()
@@ -132,18 +48,22 @@ def fit(levels: np.ndarray, counts: np.ndarray, m: list[list[float]], u: list[li
                 if silent[f] is not None:
                     x[silent[f]] = 1e-9
                 p[f] = x / x.sum()
+            if hold := list(pinned[f]):
+                free = [k for k in range(len(m_[f])) if k not in hold]
+                m_[f][free] *= (1 - m0[f][hold].sum()) / m_[f][free].sum()
+                m_[f][hold] = m0[f][hold]
         prior = float(np.clip((counts @ post + 1) / (total + 2), 1e-3, 1 - 1e-3))
     return post
 
 
 def with_confidence(pairs: DataFrame, fields: dict[str, tuple]) -> DataFrame:
     """pairs with `confidence`; fields: for each column of levels where the match and the non-match
-    class start from and, as a third, the level that says nothing."""
+    class start from; as a third, the level that says nothing; as a fourth, the levels that are pinned."""
     names = list(fields)
     seen = pairs.groupBy(*names).count().collect()  # at most as many rows as there are patterns
     if not seen:
         return pairs.withColumn("confidence", F.lit(0.0))
     levels, counts = np.array([[r[n] for n in names] for r in seen]), np.array([r["count"] for r in seen], float)
-    post = fit(levels, counts, [fields[n][0] for n in names], [fields[n][1] for n in names], [(*fields[n], None)[2] for n in names])
+    post = fit(levels, counts, [fields[n][0] for n in names], [fields[n][1] for n in names], [(*fields[n], None)[2] for n in names], [(*fields[n], None, ())[3] if len(fields[n]) > 3 else () for n in names])
     patterns = pairs.sparkSession.createDataFrame([(*map(int, x), float(p)) for x, p in zip(levels, post)], ", ".join(f"{n} int" for n in names) + ", confidence double")
     return pairs.join(F.broadcast(patterns), names)

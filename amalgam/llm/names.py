@@ -1,15 +1,17 @@
 """Problem 7: spellings of the name of the same firm or person.
 
-Names are folded and parsed; each distinct name counts once. A distributed sparse join finds all pairs of names that share a pair of
-n-grams at the ends of their words and are within a few edits; their similarity is the cosine of weighted character n-gram vectors
-(weights: inverse document frequency over all names, counted in hashed slots, so the table of weights has a fixed size). All pairs above the
-threshold are kept, not only a best few. They are grouped by average-linkage clustering over the pairs between the two sources: in
-each round all clusters that are each other's nearest are merged, which gives the same clusters as merging one pair at a time. Once
-at most REST edges are above the threshold, one task merges what is left, pair by pair. It ends when no pair of clusters is left to merge.
-
-Defined results: missing names match nothing; equal names match; names of legal forms or trades only are compared as written; repeated
-rows give a pair once; empty tables give no rows. A given name or initial that contradicts, and a different trade, keep names apart, and so do
-words without a partner in the other name.
+1. Each distinct name is a weighted character n-gram vector (vectors.py). A sparse join over pairs of n-grams (a name's rarest
+   features) brings names together; hashed bigrams of both, as bits of a number, drop what can't come near the threshold; the cosine
+   of the vectors decides: all pairs of at least LINK are kept. `top` keeps a name's best n only (ties included); the
+   query keeps all, since a cap would lose partners.
+2. Common words (legal forms, trades, given names) are compared by the roles that the corpus gives them (roles.py): names
+   whose words contradict each other are kept apart.
+3. Average-linkage clustering over the pairs between the two sources: in each round all clusters that are each other's nearest are
+   merged, which gives the same clusters as merging one pair at a time. Once at most REST edges are above the threshold, one task merges
+   what is left, pair by pair. It ends when no pair of clusters is left to merge.
+
+Defined results: missing names match nothing; equal names match; names of common words only are compared as written; repeated
+rows give a pair once; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -17,93 +19,80 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from amalgam.llm import linkage as L
 from amalgam.llm.records import common_words, folded_records, parsed
-from amalgam.sources.tables import cut
-
-SLOTS = 1 << 16
-LINK, JOIN = 0.28, 0.3
+from amalgam.llm.roles import Roles, learn
+from amalgam.llm.vectors import name_cosine
+from amalgam.sources.tables import cut, drop_cut
+
+#: The least cosine of a pair of names, and the least mean cosine of two clusters.
+LINK, JOIN = 0.45, 0.3
+#: Least cosine of the sketches of two names, and least product of the cosines of those of their words.
+NEAR, NEAR_WORDS = 0.45, 0.3
 #: Rounds after which an error is raised; edges above the threshold that one task can merge.
 ROUNDS, REST = 200, 200_000
-NAME = ["core", "given", "initials", "trade"]
 
 
-def grams(core: str) -> set[int]:
-    """Slots of the 2- and 3-grams of a name (1- and 2-grams in scripts of syllables)."""
-    core = core.replace(" ", "")
-    n = 2 if core[:1].isascii() or "Ͱ" <= core[:1] <= "ӿ" else 1
-    return {xxhash.xxh32_intdigest(core[i : i + k]) % SLOTS for k in (n, n + 1) for i in range(len(core) - k + 1)}
+def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(core1, core2, ...) -> with `cosine`."""
+    for b in batches:
+        out = [name_cosine(x, y) for x, y in zip(b.column("core1").to_pylist(), b.column("core2").to_pylist())]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, "cosine"])
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    acc = np.zeros(SLOTS, np.int64)
-    for b in batches:
-        for core in b.column(0).to_pylist():
-            acc[list(grams(core))] += 1
-    at = np.flatnonzero(acc)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(acc[at])], ["slot", "n"])
+def with_cosine(pairs: DataFrame) -> DataFrame:
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields)
+    return pairs.mapInArrow(_cosines, f"{schema}, cosine double")
 
 
-def weights(cores: DataFrame) -> np.ndarray:
-    """The squared weight of each slot: inverse document frequency over all names."""
-    df = np.zeros(SLOTS)
-    counted = cores.mapInArrow(_frequencies, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most SLOTS rows
-    df[counted["slot"].to_numpy()] = counted["n"].to_numpy()
-    return np.log((1 + df.max(initial=0)) / (1 + df)) ** 2 + 0.05
+def _near() -> Column:
+    """Whether the sketches of two names allow a cosine near LINK; of names of two words each, by words."""
+    bits = lambda c: F.bit_count(c).cast("double")
+    alike = lambda x, y: bits(x.bitwiseAND(y)) / F.sqrt(F.greatest(bits(x) * bits(y), F.lit(1.0)))
+    a, b, c, d = (F.col(f"sketch_{x}{n}") for n in "12" for x in "ab")
+    two = F.greatest(alike(a, c) * alike(b, d), alike(a, d) * alike(b, c)) >= NEAR_WORDS
+    whole = alike(a.bitwiseOR(b), c.bitwiseOR(d)) >= NEAR
+    return F.when((b != 0) & (d != 0), two).otherwise(whole)
 
 
-def _cosines(square: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, tuple[set[int], float]] = {}
+def core_pairs(left: DataFrame, right: DataFrame, link: float = LINK, top: int | None = None) -> DataFrame:
+    """(core1, core2, cosine): names of two tables (core, sketch_a, sketch_b, keys) of at least that cosine, each pair once."""
+    names = [x.where("core <> ''").dropDuplicates(["core"]).withColumn("cid", F.xxhash64("core")) for x in (left, right)]
+    keyed = [L.side(x.select("cid", "sketch_a", "sketch_b", F.explode("keys").alias("key")), n) for x, n in zip(names, "12")]
+    met = keyed[0].join(keyed[1], F.col("key1") == F.col("key2"))
+    close = met.where((F.col("cid1") == F.col("cid2")) | _near()).select("cid1", "cid2").distinct()
+    for x, n in zip(names, "12"):
+        close = close.join(x.select(F.col("cid").alias(f"cid{n}"), F.col("core").alias(f"core{n}")), f"cid{n}")
+    found = with_cosine(close.select("core1", "core2")).where(F.col("cosine") >= link)
+    if top is not None:
+        best = [F.rank().over(Window.partitionBy(c).orderBy(F.desc("cosine"))) for c in ("core1", "core2")]
+        found = found.withColumns({"r1": best[0], "r2": best[1]}).where((F.col("r1") <= top) | (F.col("r2") <= top)).drop("r1", "r2")
+    return found
 
-        def of(core: str) -> tuple[set[int], float]:
-            if core not in seen:
-                if len(seen) > 100_000:
-                    seen.clear()
-                g = grams(core)
-                seen[core] = (g, float(square[list(g)].sum()) ** 0.5)
-            return seen[core]
 
-        weight = square.tolist()
-        for b in batches:
-            out = []
-            for x, y in zip(b.column("core1").to_pylist(), b.column("core2").to_pylist()):
-                (g, n), (h, m) = of(x), of(y)
-                out.append(sum([weight[i] for i in g & h]) / (n * m) if n and m else float(x == y))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, "cosine"])
+def with_roles(pairs: DataFrame, roles: Roles, a: str = "marks1", b: str = "marks2", out: str = "marks") -> DataFrame:
+    """pairs with the level of their common words: 0 the same, 1 words left out, 2 a contradiction."""
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            levels = [roles.level(tuple(x), tuple(y)) for x, y in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(levels, pa.int32())], names=[*batch.schema.names, out])
 
+    return pairs.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields) + f", {out} int")
 
-def core_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(core1, core2, edits): names of two tables (core, sketch, name_keys) that share a key and are close, each pair once.
 
-    What is tested before the exact similarity loses none of it: the edits that core_similarity() allows for the length bound the
-    difference of lengths, the bounded edit distance and the pairs of letters lost (two for each edit, and one for each seam of words,
-    since words may be sorted first).
-    """
-    keyed = lambda x, n: L.side(x.where("core <> ''").dropDuplicates(["core"]).select("core", "sketch", F.explode("name_keys").alias("key")), n)
-    both = keyed(left, "1").join(keyed(right, "2"), F.col("key1") == F.col("key2"))
-    n1, n2 = F.length(L.joined("1")), F.length(L.joined("2"))
-    seams1, seams2 = (F.length(f"core{n}") - F.length(L.joined(n)) for n in "12")
-    allowed = F.floor(F.greatest(n1, n2) * F.when((seams1 == 1) & (seams2 == 1), 0.35).otherwise(0.21) + 1e-6).cast("int")
-    both = both.withColumn("allowed", allowed).where(F.abs(n1 - n2) <= F.col("allowed"))
-    bits = lambda c: F.bit_count(c)
-    alike = bits(F.col("sketch1").bitwiseAND(F.col("sketch2"))) >= F.greatest(bits("sketch1"), bits("sketch2")) - 2 * F.col("allowed") - seams1 - seams2
-    within = lambda f: F.call_function("levenshtein", f("1"), f("2"), F.col("allowed")) >= 0
-    close = both.where(alike).where(within(L.joined) | within(L.joined_sorted)).select("core1", "core2").distinct()
-    return close.select("core1", "core2", L.core_similarity().alias("edits")).where("edits > 0")
-
-
-def with_cosine(pairs: DataFrame, cores: DataFrame) -> DataFrame:
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    return pairs.mapInArrow(_cosines(weights(cores)), f"{schema}, cosine double")
+def name_roles(words: list[str], *tables: DataFrame) -> Roles:
+    """What the common words of names mean, from the parsed names of all tables."""
+    sort = F.array_join(F.array_sort(F.split("core", " ")), " ").alias("core")
+    every = None
+    for t in tables:
+        one = t.where("core <> ''").select(sort, "marks")
+        every = one if every is None else every.unionAll(one)
+    return learn(every.distinct(), words)
 
 
 def _merge_all(least: float):
@@ -191,16 +180,16 @@ def same_name_pairs(df1: DataFrame, id1, df2: DataFrame, id2) -> DataFrame:
     """(id1, id2) of entities with spellings of the same name."""
     a, b = folded_records(df1, id1, address=False), folded_records(df2, id2, address=False)
     words = common_words(a.select("name").unionByName(b.select("name")))
-    left, right = (parsed(x, words, None).where("core <> ''").withColumn("node", F.md5(F.concat_ws("\u0001", "core", F.array_join("given", " "), "initials", F.array_join("trade", " ")))) for x in (a, b))
-    cores = left.select("core").unionAll(right.select("core")).distinct()
-    close = with_cosine(core_pairs(left, right), cores).where((F.col("cosine") >= LINK) | (F.col("core1") == F.col("core2"))).select("core1", "core2", "cosine")
-    n1, n2 = (x.select("node", *NAME).dropDuplicates(["node"]) for x in (left, right))
-    both = close.join(L.side(n1, "1"), "core1").join(L.side(n2, "2"), "core2")
-    both = both.where((L.given_level() < 2) & (L.trade_level() < 2))
-    edges = cut(both.select(F.concat(F.lit("1"), "node1").alias("a"), F.concat(F.lit("2"), "node2").alias("b"), F.col("cosine").alias("s")))
-    clusters = average_linkage(edges, JOIN)
-    c1 = clusters.where(F.left("node", F.lit(1)) == "1").select(F.substring("node", 2, 32).alias("node"), "cluster")
-    c2 = clusters.where(F.left("node", F.lit(1)) == "2").select(F.substring("node", 2, 32).alias("node"), "cluster")
-    e1 = left.select("id", "node").join(c1, "node").select(F.col("id").alias("id1"), "cluster").distinct()
-    e2 = right.select("id", "node").join(c2, "node").select(F.col("id").alias("id2"), "cluster").distinct()
-    return e1.join(e2, "cluster").select("id1", "id2").distinct()
+    left, right = (parsed(x, words, None).where("core <> ''").withColumn("node", F.xxhash64("core", "marks")) for x in (a, b))
+    drop_cut(a)
+    drop_cut(b)
+    roles = name_roles(words, left, right)
+    n1, n2 = (L.side(x.select("node", "core", "marks").dropDuplicates(["node"]), n) for x, n in ((left, "1"), (right, "2")))
+    both = core_pairs(left, right).join(n1, "core1").join(n2, "core2").select("node1", "node2", "cosine", "marks1", "marks2")
+    good = with_roles(both, roles).where("marks < 2")
+    tag = lambda n: F.concat(F.lit(n), F.hex(f"node{n}"))
+    edges = cut(good.select(tag("1").alias("a"), tag("2").alias("b"), F.col("cosine").alias("s")))
+    clusters = cut(average_linkage(edges, JOIN))
+    drop_cut(edges)
+    ids = lambda x, n: x.select(F.col("id").alias(f"id{n}"), F.concat(F.lit(n), F.hex("node")).alias("node")).distinct().join(clusters, "node").select(f"id{n}", "cluster").distinct()
+    return ids(left, "1").join(ids(right, "2"), "cluster").select("id1", "id2").distinct()

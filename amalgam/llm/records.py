@@ -1,8 +1,8 @@
 """Names and addresses of business records taken apart, for problems 4, 5 and 7.
 
-Both are folded first (look-alikes, width, accents, case). Words are then told apart by how many different values hold them: words of
-at least COMMON of all distinct names are legal forms, trades and given names, the rest make up the name proper; in
-addresses, common words are places, the rest streets. A share of all values bounds the list of common words, whatever the
+Both are folded first (look-alikes, width, accents, case). Words are then told apart by how many different values hold them: common
+words (legal forms, trades, given names; kinds of streets, towns, directions) become marks, whose meaning roles.py learns from the
+corpus; the rest make up the core, the name or street proper. A share of all values bounds the list of common words, whatever the
 size of the data, so it may be handed to every task.
 
 Defined results: a missing value has null in every part; a value of punctuation only has empty parts; texts are folded whole.
@@ -20,11 +20,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from amalgam.functions.values import COUNTRY_OF, country_code, is_missing
+from amalgam.functions.values import is_missing
 from amalgam.llm.looks import folded
+from amalgam.llm.vectors import sketches
 from amalgam.sources.tables import cut
 
-COMMON, PLACE_MOST = 0.0004, 0.02
+#: The share of all distinct values that a common word holds, and how many it holds at least (fewer show nothing).
+COMMON, EVIDENCE = 0.0003, 4
 
 
 @lru_cache(50_000)
@@ -38,50 +40,25 @@ def fold(value: str) -> str:
     return s.replace("ae", "a").replace("oe", "o").replace("ue", "u")
 
 
-# Legal forms and words that carry no name.
-LEGAL = set(
-    map(fold, ("ltd limited llp llc inc incorporated co company corp corporation pvt private plc pty sa sarl sas ltda limitada gmbh ag kg ug ohg sl bv nv spa srl sp zoo dac cc kk kft oy ab as "
-    "liability partnership sociedad anonima gesellschaft mbh aktiengesellschaft kommanditges kommanditgesellschaft societe besloten vennootschap naamloze the and und et en of "
-    "mr ms mrs miss dr prof ад еоод оод επε αε").split())
-)
-CJK_LEGAL = re.compile("株式会社|有限会社|合同会社|[(（]株[)）]|주식회사|유한회사|[(（]주[)）]")
-NEUTRAL = set("the and und et en of mr ms mrs miss dr prof".split())
-# Given names with their short forms.
-GIVEN = {
-    "robert": "bob bobby rob robbie bert", "christopher": "chris kit topher", "benjamin": "ben benny benji", "susanna": "sue suzy susie sanna suzanna susan", "antonia": "toni tonia",
-    "victoria": "vicky tori vic vicki", "theodore": "ted teddy theo", "henry": "hank harry hal", "alexander": "alex sandy alec xander sasha", "elizabeth": "liz betty beth lizzie eliza betsy lisa",
-    "josephine": "jo josie fifi", "patricia": "pat trish patty tricia", "michael": "mike mick mickey micky", "leonard": "len leo lenny", "nicholas": "nick klaus nicky", "katherine": "kate kathy kit katie kay",
-    "dorothea": "dora thea dot dorothy", "margaret": "maggie peggy meg greta", "frederick": "fred fritz freddy freddie", "richard": "rick dick richie rich", "edward": "ed ned ted eddie teddy", "johanna": "jo hanna jana",
-    "william": "bill will billy willy liam", "gabriela": "gabi ela gaby", "james": "jim jimmy", "john": "jack johnny", "thomas": "tom tommy", "joseph": "joe", "daniel": "dan danny", "charles": "charlie chuck", "anthony": "tony",
-}
-FORMAL: dict[str, list[str]] = {}
-for _name, _short in GIVEN.items():
-    for _s in [_name, *_short.split()]:
-        FORMAL.setdefault(fold(_s), []).append(_name)
-# Kinds of streets; compounds end with those in COMPOUND.
-STREETS = {
-    "st": "st str street strasse straat", "av": "av ave avenue avenida avda", "rd": "rd road", "dr": "dr drive drv", "ln": "ln lane", "ct": "ct court", "bd": "bd blvd boulevard boul bulevar бул булевард",
-    "pk": "pky pkwy parkway", "rue": "r rue rua", "pl": "pl place plaza pza plz platz", "all": "all allee", "weg": "weg wg", "laan": "laan", "tv": "travessa trav tv", "cl": "calle cl c", "ul": "ul ulica ул улица", "al": "al aleja", "od": "οδος οδ", "le": "λεωφ λεωφορος λεωφόρος",
-    "duong": "duong", "pho": "pho", "tori": "通 通り", "machi": "町", "ro": "로", "gil": "길",
-}
-KIND = {fold(w): k for k, words in STREETS.items() for w in words.split()}
-COMPOUND = [("strasse", "st"), ("straat", "st"), ("str", "st"), ("allee", "all"), ("all", "all"), ("platz", "pl"), ("plein", "pl"), ("pl", "pl"), ("weg", "weg"), ("wg", "weg"), ("laan", "laan"), ("ln", "laan"), ("通り", "tori"), ("通", "tori"), ("町", "machi"), ("로", "ro"), ("길", "gil")]
-# Words of directions and units.
-ASIDE = set("unit apt apartment flat ste suite room rm fl floor ground no nr num near opp opposite behind old depot water tower market hall corner building rear entrance front desk co care of sur les bains lave in us usa uk gb de fr es br jp kr nl ca pl vn ie bg gr za na ind deu fra esp bra jpn kor nld can united states kingdom india germany france south korea n ru the".split())
-ASIDE |= {fold(w) for text in COUNTRY_OF for w in text.split()}
-
-DOTTED = re.compile(r"\b(?:[a-z]\.\s?){2,}(?:[a-z]\b\.?)?")
+# Formats of addresses. Words before the number of a unit or of a house, and shapes of postcodes.
+DOTTED = re.compile(r"\b(?:[^\W\d_]\.){2,}(?:[^\W\d_]\b\.?)?")
 UNIT = re.compile(r"\b(?:unit|apt|apartment|flat|ste|suite|room|rm)\b[.:]?\s*#?\s*\d+[a-z]?\b|\b\d+(?:st|nd|rd|th)\s+(?:fl|floor)\b")
 HASH_UNIT = re.compile(r"#\d+\b")
-POSTCODES = [re.compile(x) for x in (r"\b\d{3}-\d{4}\b", r"\b\d{5}-\d{3}\b", r"\b\d{2}-\d{3}\b", r"\b[a-z]{1,2}\d[a-z\d]?\s*\d[a-z]{2}\b", r"\b[a-z]\d[a-z]\s*\d[a-z]\d\b", r"\b\d{5,7}\b")]
+POSTCODES = re.compile(r"\b(?:\d{3}-\d{4}|\d{5}-\d{3}|\d{2}-\d{3}|[a-z]{1,2}\d[a-z\d]?\s*\d[a-z]{2}|[a-z]\d[a-z]\s*\d[a-z]\d|\d{5,7})\b")
 DUTCH, FOUR = re.compile(r"\b\d{4}\s?[a-z]{2}\b"), re.compile(r"\b\d{4}\b")
 MARKED = re.compile(r"(?:\bno\b\.?|\bnr\b\.?|\bn\s?°|\bn\s?º|#|№|\bnum\b\.?)\s*(\d{1,4})\b")
 NUMBER = re.compile(r"(?<![\w-])(\d{1,4})(?![\w])")
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def name_words(folded_name: str) -> list[str]:
-    return WORD.findall(DOTTED.sub(" ", CJK_LEGAL.sub(" ", folded_name)).replace("'", "").replace("’", ""))
+def words_of(folded_value: str) -> list[str]:
+    """Runs of letters; letters with dots between (S.A.) are one word."""
+    s = folded_value
+    if "." in s:
+        s = DOTTED.sub(lambda m: m[0].replace(".", "") + " ", s)
+    if "'" in s or "’" in s:
+        s = s.replace("'", "").replace("’", "")
+    return WORD.findall(s)
 
 
 def _less(word: str) -> list[str]:
@@ -89,225 +66,200 @@ def _less(word: str) -> list[str]:
     return [word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]
 
 
-class Nearby:
-    """Finds the listed word that a word is a slip of: a letter more, less, other, or two swapped."""
+class Words:
+    """Tells common words (and slips of them: a letter more, less, other, or two swapped) from rare ones."""
 
-    def __init__(self, words, least: int) -> None:
-        self.least, self.seen = least, {}
+    def __init__(self, common: list[str]) -> None:
+        self.id = {w: i for i, w in enumerate(common)}
         self.at: dict[str, str] = {}
-        for w in sorted(words):
-            if len(w) >= least:
+        for w in common:
+            if len(w) >= 5:
                 for x in _less(w):
                     self.at.setdefault(x, w)
-
-    def __call__(self, word: str) -> str | None:
-        if len(word) < self.least:
-            return None
+        #: Scripts written without blanks may run a common word and a name together; so do compounds of long words.
+        self.glued = sorted((w for w in common if len(w) > (0 if w[0] > "ԯ" else 4)), key=len, reverse=True)
+        self.ends = {w[-1] for w in self.glued} | {w[0] for w in self.glued if w[0] > "ԯ"}
+        self.seen: dict[str, tuple[str, tuple[int, ...]]] = {}
+
+    def split(self, word: str) -> tuple[str, tuple[int, ...]]:
+        """What is left of a word, and the marks in it."""
+        if (i := self.id.get(word)) is not None:
+            return "", (i,)
         if word not in self.seen:
             if len(self.seen) > 100_000:
                 self.seen.clear()
-            self.seen[word] = next((self.at[x] for x in _less(word) if x in self.at and abs(len(self.at[x]) - len(word)) <= 1), None)
+            self.seen[word] = self._split(word)
         return self.seen[word]
 
-
-def _fits(short: str, word: str) -> bool:
-    """Whether `short` may abbreviate `word`: same first letter, letters in order."""
-    if short[0] != word[0] or len(short) > len(word):
-        return False
-    rest = iter(word)
-    return all(c in rest for c in short)
-
-
-class NameParser:
-    def __init__(self, common: dict[str, int], total: int) -> None:
-        self.common = set(common)
-        word = lambda w: w not in LEGAL and w not in FORMAL
-        trades = [w for w, n in common.items() if n >= 0.001 * total and word(w) and len(w) > (3 if w.isascii() else 1)]
-        self.whole = [t for t in trades if not "a" <= t[0] <= "\u052f"]  # in scripts of syllables a trade may be written to the name
-        self.near_trade = Nearby(trades, 5)
-        self.trades = {w: [t for t in trades if _fits(w, t)] for w in trades}  # with the longer words that it may shorten
-        for w in common:
-            if w not in self.trades and word(w) and (len(w) > 1 or not w.isascii()):
-                self.trades[w] = [t for t in trades if _fits(w, t)]
-        self.begins: dict[str, list[str]] = {}
-        for t in trades:
-            for k in range(3 if t[0] <= "\u052f" else 1, len(t)):
-                self.begins.setdefault(t[:k], []).append(t)
-        self.given = Nearby(FORMAL, 5)
-
-    def __call__(self, folded_name: str) -> tuple:
-        """core (its words in order), given names it may mean, initials, trades, keys, sketch."""
-        words = name_words(folded_name)
-        core, given, initials, trade, firm = [], [], [], [], False
+    def _split(self, word: str) -> tuple[str, tuple[int, ...]]:
+        if len(word) >= 5:
+            for x in _less(word):
+                near = self.at.get(x)
+                if near and abs(len(near) - len(word)) <= 1:
+                    return "", (self.id[near],)
+        marks: tuple[int, ...] = ()
+        if word[-1] in self.ends or word[0] in self.ends:
+            least = 2 if word[0] > "ԯ" else 4
+            for g in self.glued:
+                if len(word) >= len(g) + least:
+                    if word.endswith(g):
+                        word, marks = word[: -len(g)], (*marks, self.id[g])
+                    elif g[0] > "ԯ" and word.startswith(g):
+                        word, marks = word[len(g) :], (*marks, self.id[g])
+        return word, marks
+
+    def __call__(self, words: list[str]) -> tuple[list[str], list[int]]:
+        """The rare words in order, and the marks in ascending order."""
+        rare, marks = [], set()
         for w in words:
-            if w in FORMAL:
-                given += FORMAL[w]
-            elif w in LEGAL:
-                firm = firm or w not in NEUTRAL
-            elif len(w) == 1 and w.isascii():
-                initials.append(w)
-            elif w in self.common:
-                trade += self.trades.get(w, [])
-            elif w in self.begins:
-                trade += self.begins[w]
-            elif near := self.given(w):
-                given += FORMAL[near]
-            elif near := self.near_trade(w):
-                trade.append(near)
-            else:
-                if not w.isascii() and (end := next((t for t in self.whole if w.endswith(t) and len(w) > len(t) + 1), None)):
-                    trade.append(end)
-                    w = w[: -len(end)]
-                core.append(w)
-        if not core:
-            core = [w for w in words if w not in LEGAL and (len(w) > 1 or not w.isascii())] or words
-            trade, given = [], []
-        return " ".join(core), sorted(set(given)), "" if firm or given else "".join(sorted(set(initials))), sorted(set(trade)), name_keys(core), sketch("".join(core))
+            left, own = self.split(w)
+            marks.update(own)
+            if left:
+                rare.append(left)
+        return rare, sorted(marks)
 
 
 def _hashed(keys) -> list[int]:
-    return [xxhash.xxh64_intdigest(k) >> 1 for k in keys]
-
-
-def sketch(joined: str) -> int:
-    """63 bits, those of the pairs of letters of a name set: names a few edits apart have most of them in common."""
-    out = 0
-    for a, b in zip(joined, joined[1:]):
-        out |= 1 << (ord(a) * 31 + ord(b)) % 63
-    return out
+    return [xxhash.xxh32_intdigest(k) - (1 << 31) for k in keys]
 
 
 def name_keys(core: list[str]) -> list[int]:
-    """Pairs of n-grams at the ends of the words of a name: two spellings share one unless each pair is hit by a slip."""
+    """Pairs of n-grams, one from each end or word of a name: two spellings share one unless a slip hits each pair.
+
+    Of words next to each other (the last and the first are, too), begin and end each pair with begin and end, in either order; of
+    the name run together, begin, middle and end. Their number grows with the number of words.
+    """
     if not core:
         return []
-    n = 3 if core[0].isascii() else 2
+    wide = core[0][0] > "ԯ"  # scripts of syllables
     joined = "".join(core)
+    n = 2 if wide else 3
     keys = {f"x{joined[:n]}{joined[-n:]}", f"y{joined[: n + 2]}{joined[-1:]}", f"z{joined[:1]}{joined[-n - 2 :]}"}
     if len(core) == 1:
+        m = max(len(joined) // 2 - 2, 0)
+        keys |= {f"u{joined[:n]}{joined[m : m + n + 1]}", f"w{joined[m : m + n + 1]}{joined[-n:]}"}
         return _hashed(sorted(keys))
-    if len(core) > 3:
-        core = sorted(core, key=len)[-3:]
-    for i, a in enumerate(core):
-        for b in core[i + 1 :]:
-            for x, y in ((a, b), (b, a)):
-                keys.add(f"x{x[:n]}{y[-n:]}")
-            keys.add("p" + "".join(sorted((a[:n], b[:n]))))
-            keys.add("s" + "".join(sorted((a[-n:], b[-n:]))))
+    size = lambda w: 2 if wide or len(w) < 6 else 3
+    for i, a in enumerate(core if len(core) > 2 else core[:1]):
+        b = core[(i + 1) % len(core)]
+        p, q = size(a), size(b)
+        for x, y in ((f"<{a[:p]}", f"<{b[:q]}"), (f"<{a[:p]}", f">{b[-q:]}"), (f">{a[-p:]}", f"<{b[:q]}"), (f">{a[-p:]}", f">{b[-q:]}")):
+            keys.add(f"{x}{y}" if x <= y else f"{y}{x}")
     return _hashed(sorted(keys))
 
 
-class AddressParser:
-    def __init__(self, common: dict[str, int], total: int) -> None:
-        self.common = set(common)
-        self.generic = {w for w, n in common.items() if n >= PLACE_MOST * total}
-        self.place = Nearby((w for w in self.common - self.generic if w not in KIND and w not in ASIDE), 4)
-
-    def __call__(self, s: str, country: str | None) -> tuple:
-        """house number, postcode, kinds of street, street, its words, places, keys (the most telling first); of a folded address."""
-        s = UNIT.sub(" ; ", s)
-        post = ""
-        for p in POSTCODES:
-            if m := p.search(s):
-                post = re.sub(r"[\s-]", "", m[0])
-                s = s[: m.start()] + " ; " + s[m.end() :]
+# Classes of letters that sound alike (Soundex).
+CLASSES = {c: str(i) for i, letters in enumerate(("bfpv", "cgjkqsxz", "dt", "l", "mn", "r"), 1) for c in letters}
+
+
+def sound(word: str) -> str:
+    """How a word begins: its first letter and the classes of the next two (vowels are one class, doubled letters one letter); as written in other scripts."""
+    if not word.isascii():
+        return word[: 2 if word[0] > "ԯ" else 3]
+    out, last = word[0], word[0]
+    for c in word[1:]:
+        if c != last:
+            out += CLASSES.get(c, "0")
+            if len(out) == 3:
                 break
-        if not post and country in ("NL", None) and (m := DUTCH.search(s)):
-            post = m[0].replace(" ", "")
-            s = s[: m.start()] + " ; " + s[m.end() :]
-        marked = MARKED.findall(s)
-        plain = NUMBER.findall(HASH_UNIT.sub(" ; ", s))
-        short = [x for x in plain if len(x) < 4]
-        if HASH_UNIT.search(s) and plain:  # "#14" beside another number is a unit
-            marked = MARKED.findall(HASH_UNIT.sub(" ; ", s))
-        house = (marked or short or plain or [""])[0].lstrip("0")
-        if not post and (m := next((x for x in FOUR.findall(s) if x != house), None)):
-            post = m
-        kinds, street, places = [], [], []
-        for w in WORD.findall(s):
-            if w in KIND and (w in self.common or len(w) < 4 or not w.isascii()):
-                kinds.append(KIND[w])
-                continue
-            if w in ASIDE or (len(w) == 1 and w.isascii()):
-                continue
-            if w in self.common:
-                if w not in self.generic and len(w) + 2 * (not w.isascii()) > 2:
-                    places.append(w)
-                continue
-            if near := self.place(w):
-                places.append(near)
-                continue
-            for end, kind in COMPOUND:
-                if w.endswith(end) and len(w) > len(end) + (2 if w.isascii() else 1):
-                    w = w[: -len(end)]
-                    kinds.append(kind)
-                    break
-            street.append(w)
-        joined = "".join(street)
-        keys = []
-        if house:
-            n = 3 if joined.isascii() else 2
-            longest = sorted(street, key=len)[:-5:-1]
-            keys = [f"{house}={post}"] if post else []
-            keys += [f"{house}<{w[:n]}" for w in longest] + [f"{house}>{w[-n:]}" for w in longest]
-        return house, post, sorted(set(kinds)), joined, sorted(set(street)), sorted(set(places)), _hashed(dict.fromkeys(keys))
+        last = c
+    return out
+
+
+def parse_name(words: Words, value: str) -> tuple:
+    """(core, marks, keys, sketches) of a folded name."""
+    own = words_of(value)
+    core, marks = words(own)
+    if not core:  # a name of common words only is compared as it is written
+        core, marks = own, []
+    return " ".join(core), marks, name_keys(core), *sketches(core)
+
+
+def parse_address(words: Words, value: str | None, country: str | None) -> tuple:
+    """(house, post, street, marks, keys) of a folded address; the country is a mark like any other, also where the address is missing."""
+    if value is None:
+        i = words.id.get(country)
+        return None, None, None, [] if i is None else [i], []
+    s = UNIT.sub(" ; ", value)
+    post = ""
+    if m := POSTCODES.search(s):
+        post = re.sub(r"[\s-]", "", m[0])
+        s = f"{s[: m.start()]} ; {s[m.end() :]}"
+    elif m := DUTCH.search(s):
+        post = m[0].replace(" ", "")
+        s = f"{s[: m.start()]} ; {s[m.end() :]}"
+    unhashed = HASH_UNIT.sub(" ; ", s) if "#" in s else s
+    plain = NUMBER.findall(unhashed)
+    short = [x for x in plain if len(x) < 4]
+    marked = MARKED.findall(unhashed if plain else s)  # "#14" beside another number is a unit
+    house = (marked or short or plain or [""])[0].lstrip("0")
+    if not post and (m := next((x for x in FOUR.findall(s) if x != house), None)):
+        post = m
+    street, marks = words([w for w in words_of(s) if len(w) > 1 or not w.isascii()])
+    if country and (i := words.id.get(country)) is not None:
+        marks = sorted({*marks, i})
+    keys = []
+    if house:
+        keys = [f"{house}={post}"] if post else []
+        keys += [f"{house}<{sound(w)}" for w in street] + [f"{house}>{sound(w[::-1])}" for w in street]
+    return house, post, " ".join(sorted(set(street))), marks, _hashed(dict.fromkeys(keys))
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         own = [pa.array([None if v is None else fold(v) for v in c.to_pylist()], pa.string()) for c in b.columns[2:4]]
-        yield pa.RecordBatch.from_arrays([*b.columns[:2], *own], ["id", "code", "name", "address"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:2], *own], ["id", "country", "name", "address"])
 
 
 def folded_records(df: DataFrame, id_col: Column, name: bool = True, address: bool = True) -> DataFrame:
-    """(id, code, name, address): each combination as stored once, names and addresses folded, null where missing; written."""
+    """(id, country, name, address): each combination as stored once, names and addresses folded, null where missing; written."""
     value = lambda c, on: (F.when(~is_missing(F.col(c)), F.col(c)) if on else F.lit(None)).cast("string")
-    rows = df.select(id_col.alias("id"), (country_code(F.col("country")) if address else F.lit(None).cast("string")).alias("code"), value("business_name", name).alias("name"), value("business_address", address).alias("address"))
+    country = F.concat(F.lit("@"), F.lower(F.trim(value("country", address))))
+    rows = df.select(id_col.alias("id"), country.alias("country"), value("business_name", name).alias("name"), value("business_address", address).alias("address"))
     rows = rows.where(F.col("name").isNotNull() | F.col("address").isNotNull()).distinct()
-    return cut(rows.mapInArrow(_folded, "id string, code string, name string, address string"))
+    return cut(rows.mapInArrow(_folded, "id string, country string, name string, address string"))
 
 
-def common_words(folded_values: DataFrame) -> tuple[dict[str, int], int]:
-    """Words that at least COMMON of the distinct values in the only column hold, with how many hold them; the number of values.
+def common_words(folded_values: DataFrame) -> list[str]:
+    """Words that at least COMMON of the distinct values in the only column hold, in order; single letters count, numbers don't.
 
     At most (mean number of words) / COMMON words come back.
     """
     col = folded_values.columns[0]
     distinct = folded_values.where(F.col(col).isNotNull()).distinct()
-    found = F.array_distinct(F.regexp_extract_all(F.col(col), F.lit(r"(\p{L}+)"), F.lit(1)))
+    plain = F.regexp_replace(F.regexp_replace(F.col(col), r"(?<![\p{L}])((?:\p{L}\.){2,}\p{L}?)", "$1 "), r"(?<=(?<!\p{L})\p{L})\.(?=\p{L}\b)|['’]", "")
+    found = F.array_distinct(F.regexp_extract_all(F.when(F.contains(F.col(col), F.lit(".")), plain).otherwise(F.col(col)), F.lit(r"(@.*|\p{L}+)"), F.lit(1)))
     counted = distinct.select(F.explode(found).alias("w")).groupBy("w").count()
     total = distinct.count()
-    return {r.w: r["count"] for r in counted.where((F.col("count") >= max(4.0, COMMON * total))).collect()}, total
-
-
-_LIST, _KEYS = pa.list_(pa.string()), pa.list_(pa.int64())
-NAME_FIELDS = {"core": pa.string(), "given": _LIST, "initials": pa.string(), "trade": _LIST, "name_keys": _KEYS, "sketch": pa.int64()}
-ADDRESS_FIELDS = {"house": pa.string(), "post": pa.string(), "kinds": _LIST, "street": pa.string(), "words": _LIST, "places": _LIST, "address_keys": _KEYS}
-
-
-_DDL = {pa.string(): "string", pa.int64(): "bigint", _LIST: "array<string>", _KEYS: "array<bigint>"}
+    return sorted(r.w for r in counted.where(F.col("count") >= max(EVIDENCE, COMMON * total)).collect())
 
 
-def _ddl(fields: dict[str, pa.DataType]) -> str:
-    return ", ".join(f"{k} {_DDL[t]}" for k, t in fields.items())
+_MARKS = _KEYS = pa.list_(pa.int32())
+NAME_FIELDS = {"core": pa.string(), "marks": _MARKS, "keys": _KEYS, "sketch_a": pa.int64(), "sketch_b": pa.int64()}
+ADDRESS_FIELDS = {"house": pa.string(), "post": pa.string(), "street": pa.string(), "places": _MARKS, "address_keys": _KEYS}
+_DDL = {pa.string(): "string", pa.int64(): "bigint", _MARKS: "array<int>"}
 
 
-def parsed(rows: DataFrame, names: tuple[dict[str, int], int] | None, addresses: tuple[dict[str, int], int] | None) -> DataFrame:
-    """The folded records with the parts of their names and addresses instead; written."""
-    fields = (NAME_FIELDS if names else {}) | (ADDRESS_FIELDS if addresses else {})
+def parsed(rows: DataFrame, names: list[str] | None, addresses: list[str] | None) -> DataFrame:
+    """The folded records with the parts of their names and addresses instead; written. names, addresses: common words."""
+    fields = (NAME_FIELDS if names is not None else {}) | (ADDRESS_FIELDS if addresses is not None else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_name = lru_cache(50_000)(NameParser(*names)) if names else None
-        of_address = lru_cache(50_000)(AddressParser(*addresses)) if addresses else None
-        no_name, no_address = (None,) * len(NAME_FIELDS), (None,) * len(ADDRESS_FIELDS)
+        if names is not None:
+            name_words = Words(names)
+            of_name = lru_cache(50_000)(lambda v: parse_name(name_words, v))
+        if addresses is not None:
+            address_words = Words(addresses)
+            of_address = lru_cache(50_000)(lambda v, c: parse_address(address_words, v, c))
+        no_name = (None,) * len(NAME_FIELDS)
         for b in batches:
-            code = b.column(1).to_pylist()
             out = [()] * b.num_rows
-            if names:
+            if names is not None:
                 out = [no_name if v is None else of_name(v) for v in b.column(2).to_pylist()]
-            if addresses:
-                out = [r + (no_address if v is None else of_address(v, c)) for r, v, c in zip(out, b.column(3).to_pylist(), code)]
+            if addresses is not None:
+                country = b.column(1).to_pylist()
+                out = [r + of_address(v, c) for r, v, c in zip(out, b.column(3).to_pylist(), country)]
             own = [pa.array([r[i] for r in out], t) for i, t in enumerate(fields.values())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], *own], names=["id", "code", *fields])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *own], names=["id", "country", *fields])
 
-    return cut(rows.mapInArrow(run, f"id string, code string, {_ddl(fields)}"))
+    return cut(rows.mapInArrow(run, "id string, country string, " + ", ".join(f"{k} {_DDL[t]}" for k, t in fields.items())))
