@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
@@ -37,18 +38,6 @@ NEAR, NEAR_WORDS = 0.45, 0.3
 ROUNDS, REST = 200, 200_000
 
 
-def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(core1, core2, ...) -> with `cosine`."""
-    for b in batches:
-        out = [name_cosine(x, y) for x, y in zip(b.column("core1").to_pylist(), b.column("core2").to_pylist())]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, "cosine"])
-
-
-def with_cosine(pairs: DataFrame) -> DataFrame:
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    return pairs.mapInArrow(_cosines, f"{schema}, cosine double")
-
-
 def _near() -> Column:
     """Whether the sketches of two names allow a cosine near LINK; of names of two words each, by words."""
     bits = lambda c: F.bit_count(c).cast("double")
@@ -59,40 +48,39 @@ def _near() -> Column:
     return F.when((b != 0) & (d != 0), two).otherwise(whole)
 
 
-def core_pairs(left: DataFrame, right: DataFrame, link: float = LINK, top: int | None = None) -> DataFrame:
-    """(core1, core2, cosine): names of two tables (core, sketch_a, sketch_b, keys) of at least that cosine, each pair once."""
-    names = [x.where("core <> ''").dropDuplicates(["core"]).withColumn("cid", F.xxhash64("core")) for x in (left, right)]
-    keyed = [L.side(x.select("cid", "sketch_a", "sketch_b", F.explode("keys").alias("key")), n) for x, n in zip(names, "12")]
-    met = keyed[0].join(keyed[1], F.col("key1") == F.col("key2"))
-    close = met.where((F.col("cid1") == F.col("cid2")) | _near()).select("cid1", "cid2").distinct()
-    for x, n in zip(names, "12"):
-        close = close.join(x.select(F.col("cid").alias(f"cid{n}"), F.col("core").alias(f"core{n}")), f"cid{n}")
-    found = with_cosine(close.select("core1", "core2")).where(F.col("cosine") >= link)
-    if top is not None:
-        best = [F.rank().over(Window.partitionBy(c).orderBy(F.desc("cosine"))) for c in ("core1", "core2")]
-        found = found.withColumns({"r1": best[0], "r2": best[1]}).where((F.col("r1") <= top) | (F.col("r2") <= top)).drop("r1", "r2")
-    return found
+def close_names(left: DataFrame, right: DataFrame, roles: Roles, link: float = LINK, top: int | None = None) -> DataFrame:
+    """(h1, h2, cosine, marks): names of two tables (h, core, marks, keys, sketch_a, sketch_b; each h once) of at least that cosine, each pair once.
 
-
-def with_roles(pairs: DataFrame, roles: Roles, a: str = "marks1", b: str = "marks2", out: str = "marks") -> DataFrame:
-    """pairs with the level of their common words: 0 the same, 1 words left out, 2 a contradiction."""
+    marks: the level of their common words (roles.level).
+    """
+    keyed = [L.side(x.where("core <> ''").select("h", "sketch_a", "sketch_b", F.explode("keys").alias("key")), n) for x, n in zip((left, right), "12")]
+    met = keyed[0].join(keyed[1], F.col("key1") == F.col("key2"))
+    close = met.where((F.col("h1") == F.col("h2")) | _near()).select("h1", "h2").distinct()
+    for x, n in zip((left, right), "12"):
+        close = close.join(L.side(x.select("h", "core", "marks"), n), f"h{n}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            levels = [roles.level(tuple(x), tuple(y)) for x, y in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(levels, pa.int32())], names=[*batch.schema.names, out])
+        for b in batches:
+            cosine = np.fromiter(map(name_cosine, b.column("core1").to_pylist(), b.column("core2").to_pylist()), float, b.num_rows)
+            kept = pa.RecordBatch.from_arrays([*b.columns, pa.array(cosine)], names=[*b.schema.names, "cosine"]).filter(pa.array(cosine >= link))
+            level = [roles.level(tuple(x), tuple(y)) for x, y in zip(kept.column("marks1").to_pylist(), kept.column("marks2").to_pylist())]
+            yield pa.RecordBatch.from_arrays([kept.column("h1"), kept.column("h2"), kept.column("cosine"), pa.array(level, pa.int32())], names=["h1", "h2", "cosine", "marks"])
 
-    return pairs.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields) + f", {out} int")
+    found = close.mapInArrow(run, "h1 bigint, h2 bigint, cosine double, marks int")
+    if top is not None:
+        best = [F.rank().over(Window.partitionBy(c).orderBy(F.desc("cosine"))) for c in ("h1", "h2")]
+        found = found.withColumns({"r1": best[0], "r2": best[1]}).where((F.col("r1") <= top) | (F.col("r2") <= top)).drop("r1", "r2")
+    return found
 
 
 def name_roles(words: list[str], *tables: DataFrame) -> Roles:
     """What the common words of names mean, from the parsed names of all tables."""
-    sort = F.array_join(F.array_sort(F.split("core", " ")), " ").alias("core")
+    rare = F.when(F.col("core") != "", F.xxhash64(F.array_sort(F.split("core", " ")))).alias("core")
     every = None
     for t in tables:
-        one = t.where("core <> ''").select(sort, "marks")
+        one = t.where("core is not null").select(rare, "marks")
         every = one if every is None else every.unionAll(one)
-    return learn(every.distinct(), words)
+    return learn(every, words)
 
 
 def _merge_all(least: float):
@@ -178,18 +166,21 @@ def average_linkage(edges: DataFrame, least: float) -> DataFrame:
 
 def same_name_pairs(df1: DataFrame, id1, df2: DataFrame, id2) -> DataFrame:
     """(id1, id2) of entities with spellings of the same name."""
-    a, b = folded_records(df1, id1, address=False), folded_records(df2, id2, address=False)
-    words = common_words(a.select("name").unionByName(b.select("name")))
-    left, right = (parsed(x, words, None).where("core <> ''").withColumn("node", F.xxhash64("core", "marks")) for x in (a, b))
-    drop_cut(a)
-    drop_cut(b)
-    roles = name_roles(words, left, right)
-    n1, n2 = (L.side(x.select("node", "core", "marks").dropDuplicates(["node"]), n) for x, n in ((left, "1"), (right, "2")))
-    both = core_pairs(left, right).join(n1, "core1").join(n2, "core2").select("node1", "node2", "cosine", "marks1", "marks2")
-    good = with_roles(both, roles).where("marks < 2")
-    tag = lambda n: F.concat(F.lit(n), F.hex(f"node{n}"))
-    edges = cut(good.select(tag("1").alias("a"), tag("2").alias("b"), F.col("cosine").alias("s")))
-    clusters = cut(average_linkage(edges, JOIN))
+    rows = [folded_records(df, id_col, address=False) for df, id_col in ((df1, id1), (df2, id2))]
+    distinct = [cut(x.select("name").distinct()) for x in rows]
+    ids = [cut(x.select("id", F.xxhash64("name").alias("h"))) for x in rows]
+    for x in rows:
+        drop_cut(x)
+    words = common_words(*distinct)
+    parts = [parsed(x.withColumn("h", F.xxhash64("name")), words, None) for x in distinct]
+    for x in distinct:
+        drop_cut(x)
+    good = close_names(*parts, name_roles(words, *parts)).where("marks < 2")
+    edges = cut(good.select(F.concat(F.lit("1"), F.hex("h1")).alias("a"), F.concat(F.lit("2"), F.hex("h2")).alias("b"), F.col("cosine").alias("s")))
+    for x in parts:
+        drop_cut(x)
+    clusters = average_linkage(edges, JOIN).select(F.left("node", F.lit(1)).alias("side"), F.conv(F.substring("node", 2, 16), 16, -10).cast("bigint").alias("h"), "cluster")
+    clusters = cut(clusters)
     drop_cut(edges)
-    ids = lambda x, n: x.select(F.col("id").alias(f"id{n}"), F.concat(F.lit(n), F.hex("node")).alias("node")).distinct().join(clusters, "node").select(f"id{n}", "cluster").distinct()
-    return ids(left, "1").join(ids(right, "2"), "cluster").select("id1", "id2").distinct()
+    of = lambda n: ids[int(n) - 1].join(clusters.where(F.col("side") == n), "h").select(F.col("id").alias(f"id{n}"), "cluster").distinct()
+    return of("1").join(of("2"), "cluster").select("id1", "id2").distinct()

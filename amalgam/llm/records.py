@@ -14,9 +14,11 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ from amalgam.sources.tables import cut
 COMMON, EVIDENCE = 0.0003, 4
 
 
-@lru_cache(50_000)
+@lru_cache(20_000)
 def fold(value: str) -> str:
     """Lower case without accents or look-alikes; ae, oe, ue as a, o, u."""
     s = value if value.isascii() else folded(value)
@@ -86,7 +88,7 @@ class Words:
         if (i := self.id.get(word)) is not None:
             return "", (i,)
         if word not in self.seen:
-            if len(self.seen) > 100_000:
+            if len(self.seen) > 50_000:
                 self.seen.clear()
             self.seen[word] = self._split(word)
         return self.seen[word]
@@ -120,7 +122,7 @@ class Words:
 
 
 def _hashed(keys) -> list[int]:
-    return [xxhash.xxh32_intdigest(k) - (1 << 31) for k in keys]
+    return [crc32(k.encode()) - (1 << 31) for k in keys]
 
 
 def name_keys(core: list[str]) -> list[int]:
@@ -134,36 +136,42 @@ def name_keys(core: list[str]) -> list[int]:
     wide = core[0][0] > "ԯ"  # scripts of syllables
     joined = "".join(core)
     n = 2 if wide else 3
-    keys = {f"x{joined[:n]}{joined[-n:]}", f"y{joined[: n + 2]}{joined[-1:]}", f"z{joined[:1]}{joined[-n - 2 :]}"}
+    a, b = joined[:n], joined[-n:]
+    keys = {f"{a}<>{b}" if a <= b else f"{b}><{a}", f"y{joined[: n + 2]}{joined[-1:]}", f"z{joined[:1]}{joined[-n - 2 :]}"}
     if len(core) == 1:
         m = max(len(joined) // 2 - 2, 0)
-        keys |= {f"u{joined[:n]}{joined[m : m + n + 1]}", f"w{joined[m : m + n + 1]}{joined[-n:]}"}
+        keys |= {f"u{a}{joined[m : m + n + 1]}", f"w{joined[m : m + n + 1]}{b}"}
         return _hashed(sorted(keys))
-    size = lambda w: 2 if wide or len(w) < 6 else 3
-    for i, a in enumerate(core if len(core) > 2 else core[:1]):
-        b = core[(i + 1) % len(core)]
-        p, q = size(a), size(b)
-        for x, y in ((f"<{a[:p]}", f"<{b[:q]}"), (f"<{a[:p]}", f">{b[-q:]}"), (f">{a[-p:]}", f"<{b[:q]}"), (f">{a[-p:]}", f">{b[-q:]}")):
-            keys.add(f"{x}{y}" if x <= y else f"{y}{x}")
+    for i, v in enumerate(core if len(core) > 2 else core[:1]):
+        w = core[(i + 1) % len(core)]
+        p, q = (2 if wide or len(x) < 6 else 3 for x in (v, w))
+        a, b, c, d = v[:p], v[-p:], w[:q], w[-q:]
+        keys.add(f"{a}<<{c}" if a <= c else f"{c}<<{a}")
+        keys.add(f"{b}>>{d}" if b <= d else f"{d}>>{b}")
+        keys.add(f"{a}<>{d}" if a <= d else f"{d}><{a}")
+        keys.add(f"{c}<>{b}" if c <= b else f"{b}><{c}")
     return _hashed(sorted(keys))
 
 
-# Classes of letters that sound alike (Soundex).
-CLASSES = {c: str(i) for i, letters in enumerate(("bfpv", "cgjkqsxz", "dt", "l", "mn", "r"), 1) for c in letters}
+# Letters that are taken for each other by their sound.
+LIKE = str.maketrans("cqwyzj", "kkvisi")
+DOUBLED = re.compile(r"(.)\1+")
 
 
 def sound(word: str) -> str:
-    """How a word begins: its first letter and the classes of the next two (vowels are one class, doubled letters one letter); as written in other scripts."""
-    if not word.isascii():
-        return word[: 2 if word[0] > "ԯ" else 3]
-    out, last = word[0], word[0]
-    for c in word[1:]:
-        if c != last:
-            out += CLASSES.get(c, "0")
-            if len(out) == 3:
-                break
-        last = c
-    return out
+    """A word in letters of its sound: those that sound alike are one, doubled ones single; other scripts as written."""
+    return DOUBLED.sub(r"\1", word.replace("ph", "f").replace("ks", "x").translate(LIKE))
+
+
+def street_keys(house: str, post: str, street: list[str]) -> list[int]:
+    """The number with the postcode, and with the sound of each street word's beginning and end."""
+    if not house:
+        return []
+    keys = {f"{house}={post}"} if post else set()
+    for w in map(sound, street):
+        n = 3 if w[0] <= "ԯ" else 2
+        keys |= {f"{house}<{w[:n]}", f"{house}>{w[-n:]}"}
+    return _hashed(sorted(keys))
 
 
 def parse_name(words: Words, value: str) -> tuple:
@@ -198,11 +206,7 @@ def parse_address(words: Words, value: str | None, country: str | None) -> tuple
     street, marks = words([w for w in words_of(s) if len(w) > 1 or not w.isascii()])
     if country and (i := words.id.get(country)) is not None:
         marks = sorted({*marks, i})
-    keys = []
-    if house:
-        keys = [f"{house}={post}"] if post else []
-        keys += [f"{house}<{sound(w)}" for w in street] + [f"{house}>{sound(w[::-1])}" for w in street]
-    return house, post, " ".join(sorted(set(street))), marks, _hashed(dict.fromkeys(keys))
+    return house, post, " ".join(sorted(set(street))), marks, street_keys(house, post, street)
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,26 +216,29 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def folded_records(df: DataFrame, id_col: Column, name: bool = True, address: bool = True) -> DataFrame:
-    """(id, country, name, address): each combination as stored once, names and addresses folded, null where missing; written."""
+    """(id, country, name, address) of each row that has a name or an address: both folded, null where missing; written."""
     value = lambda c, on: (F.when(~is_missing(F.col(c)), F.col(c)) if on else F.lit(None)).cast("string")
     country = F.concat(F.lit("@"), F.lower(F.trim(value("country", address))))
     rows = df.select(id_col.alias("id"), country.alias("country"), value("business_name", name).alias("name"), value("business_address", address).alias("address"))
-    rows = rows.where(F.col("name").isNotNull() | F.col("address").isNotNull()).distinct()
+    rows = rows.where(F.col("name").isNotNull() | F.col("address").isNotNull())
     return cut(rows.mapInArrow(_folded, "id string, country string, name string, address string"))
 
 
-def common_words(folded_values: DataFrame) -> list[str]:
-    """Words that at least COMMON of the distinct values in the only column hold, in order; single letters count, numbers don't.
+def common_words(*distinct: DataFrame) -> list[str]:
+    """Words that at least COMMON of the folded values in the only columns of tables of distinct values hold, in order; numbers don't count.
 
     At most (mean number of words) / COMMON words come back.
     """
-    col = folded_values.columns[0]
-    distinct = folded_values.where(F.col(col).isNotNull()).distinct()
-    plain = F.regexp_replace(F.regexp_replace(F.col(col), r"(?<![\p{L}])((?:\p{L}\.){2,}\p{L}?)", "$1 "), r"(?<=(?<!\p{L})\p{L})\.(?=\p{L}\b)|['’]", "")
-    found = F.array_distinct(F.regexp_extract_all(F.when(F.contains(F.col(col), F.lit(".")), plain).otherwise(F.col(col)), F.lit(r"(@.*|\p{L}+)"), F.lit(1)))
-    counted = distinct.select(F.explode(found).alias("w")).groupBy("w").count()
-    total = distinct.count()
-    return sorted(r.w for r in counted.where(F.col("count") >= max(EVIDENCE, COMMON * total)).collect())
+    every = None
+    for t in distinct:
+        every = t if every is None else every.unionAll(t)
+    col = F.col(every.columns[0])
+    dotted = F.regexp_replace(F.regexp_replace(col, r"(?<![\p{L}])((?:\p{L}\.){2,}\p{L}?)", "$1 "), r"(?<=(?<!\p{L})\p{L})\.(?=\p{L}\b)|['’]", "")
+    plain = F.when(F.contains(col, F.lit(".")) | F.contains(col, F.lit("'")) | F.contains(col, F.lit("’")), dotted).otherwise(col)
+    found = F.array_distinct(F.regexp_extract_all(plain, F.lit(r"(@.*|\p{L}+)"), F.lit(1)))
+    counted = every.select(F.explode(found).alias("w")).groupBy("w").count().where(F.col("count") >= EVIDENCE)
+    counted = counted.where(F.col("count") >= F.lit(COMMON) * sum(t.count() for t in distinct)).collect()
+    return sorted(r.w for r in counted)
 
 
 _MARKS = _KEYS = pa.list_(pa.int32())
@@ -240,26 +247,35 @@ ADDRESS_FIELDS = {"house": pa.string(), "post": pa.string(), "street": pa.string
 _DDL = {pa.string(): "string", pa.int64(): "bigint", _MARKS: "array<int>"}
 
 
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    if kind != _MARKS or any(v is None for v in values):
+        return pa.array(values, kind)
+    ends = np.zeros(len(values) + 1, np.int32)
+    np.cumsum(np.fromiter(map(len, values), np.int32, len(values)), out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(list(chain.from_iterable(values)), pa.int32()))
+
+
 def parsed(rows: DataFrame, names: list[str] | None, addresses: list[str] | None) -> DataFrame:
-    """The folded records with the parts of their names and addresses instead; written. names, addresses: common words."""
+    """rows with the parts of their columns `name` and `address` instead of these; written. names, addresses: common words."""
     fields = (NAME_FIELDS if names is not None else {}) | (ADDRESS_FIELDS if addresses is not None else {})
+    kept = [c for c in rows.columns if c not in ("name", "address")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if names is not None:
             name_words = Words(names)
-            of_name = lru_cache(50_000)(lambda v: parse_name(name_words, v))
+            of_name = lru_cache(10_000)(lambda v: parse_name(name_words, v))
         if addresses is not None:
             address_words = Words(addresses)
-            of_address = lru_cache(50_000)(lambda v, c: parse_address(address_words, v, c))
+            of_address = lru_cache(10_000)(lambda v, c: parse_address(address_words, v, c))
         no_name = (None,) * len(NAME_FIELDS)
         for b in batches:
             out = [()] * b.num_rows
             if names is not None:
-                out = [no_name if v is None else of_name(v) for v in b.column(2).to_pylist()]
+                out = [no_name if v is None else of_name(v) for v in b.column("name").to_pylist()]
             if addresses is not None:
-                country = b.column(1).to_pylist()
-                out = [r + of_address(v, c) for r, v, c in zip(out, b.column(3).to_pylist(), country)]
-            own = [pa.array([r[i] for r in out], t) for i, t in enumerate(fields.values())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], *own], names=["id", "country", *fields])
+                out = [r + of_address(v, c) for r, v, c in zip(out, b.column("address").to_pylist(), b.column("country").to_pylist())]
+            own = [_column(list(x), t) for x, t in zip(zip(*out), fields.values())] if out else [pa.array([], t) for t in fields.values()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *own], names=[*kept, *fields])
 
-    return cut(rows.mapInArrow(run, "id string, country string, " + ", ".join(f"{k} {_DDL[t]}" for k, t in fields.items())))
+    ddl = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept] + [f"{k} {_DDL[t]}" for k, t in fields.items()]
+    return cut(rows.mapInArrow(run, ", ".join(ddl)))

@@ -50,7 +50,7 @@ class Roles:
         if a == b:
             return 0
         if (a, b) not in self.known:
-            if len(self.known) > 100_000:
+            if len(self.known) > 30_000:
                 self.known.clear()
             has = lambda xs: frozenset().union(*(self.roots[x] for x in xs))
             ra, rb = has(a), has(b)
@@ -121,12 +121,14 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(values: DataFrame, words: list[str], generic: float = 1.0) -> Roles:
-    """The roles of `words` from distinct values (core, marks): marks are the sorted positions of a value's common words in `words`.
+    """The roles of `words` from values (core: any hash of the rare words, null without any; marks), each once or nearly so.
+
+    marks: the sorted positions of a value's common words in `words`.
 
     generic: words that at least this share of the values hold tell nothing apart.
     """
     ddl = "kind string, u int, v int, n bigint"
-    groups = values.where("core <> ''").groupBy("core").agg(F.collect_set("marks").alias("m")).where(F.size("m") > 1).select("m")
+    groups = values.where("core is not null").groupBy("core").agg(F.collect_set("marks").alias("m")).where(F.size("m") > 1).select("m")
     tally = groups.mapInArrow(_groups, ddl).unionByName(values.select("marks").mapInArrow(_values, ddl))
     n = {(r.kind, r.u, r.v): r.n for r in tally.groupBy("kind", "u", "v").agg(F.sum("n").alias("n")).collect()}  # at most (words squared) rows
     k = len(words)

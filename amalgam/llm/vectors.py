@@ -1,6 +1,6 @@
 """Weighted character n-gram vectors of words and names, and the cosines that compare them.
 
-A word's vector holds its bigrams and, without regard to order, its bigrams and trigrams (so two swapped letters cost little); n-grams
+Vectors are sparse and binary but for one weight; each kind of n-grams is hashed into SLOTS places. A word's vector holds its bigrams and, without regard to order, its bigrams and trigrams (so two swapped letters cost little); n-grams
 at the start of the word weigh START times the others. A name of two words is the tensor product of its words' vectors: the cosine of
 two such products is the product of the cosines of their words, so names that share one word only are as good as orthogonal. Names
 of other numbers of words (run together, cut apart) are the product of their two halves. Words may come in either order.
@@ -15,29 +15,39 @@ from functools import lru_cache
 from math import sqrt
 
 START = 1.5
+#: Slots into which the n-grams of each kind are hashed.
+SLOTS = 256
 
-Vector = tuple[frozenset[str], frozenset[str], float]
-
-
-def grams(text: str) -> set[str]:
-    """n-grams of a text whose ends are marked ^ and $ by the caller; sets of letters are sorted and begin with a blank."""
-    n = len(text)
-    out = {text[i : i + 2] for i in range(n - 1)}
-    for k in (2, 3):
-        out |= {" " + "".join(sorted(text[i : i + k])) for i in range(n - k + 1)}
-    return out
+#: The n-grams, and those at the start, as bits of numbers; the length of the vector.
+Vector = tuple[int, int, float]
 
 
 def vector(text: str) -> Vector:
-    own = grams(text)
-    first = frozenset(g for g in own if "^" in g)
-    return frozenset(own), first, sqrt(len(own) + (START - 1) * len(first))
+    """Of a text whose ends are marked ^ and $ by the caller."""
+    bits = first = 0
+    codes = list(map(ord, text))
+    before = last = -1
+    for c in codes:
+        if last >= 0:
+            low, high = (last, c) if last < c else (c, last)
+            own = 1 << (last * 31 + c) % SLOTS | 1 << SLOTS + (low * 31 + high) % SLOTS
+            if before >= 0:
+                x, y, z = sorted((before, last, c))
+                three = 1 << 2 * SLOTS + (x * 961 + y * 31 + z) % SLOTS
+                bits |= three
+                if before == 94:  # ^
+                    first |= three
+            bits |= own
+            if last == 94:
+                first |= own
+        before, last = last, c
+    return bits, first, sqrt(bits.bit_count() + (START - 1) * first.bit_count())
 
 
 def cosine(a: Vector, b: Vector) -> float:
     if not a[2] or not b[2]:
         return 0.0
-    return (len(a[0] & b[0]) + (START - 1) * len(a[1] & b[1])) / (a[2] * b[2])
+    return ((a[0] & b[0]).bit_count() + (START - 1) * (a[1] & b[1]).bit_count()) / (a[2] * b[2])
 
 
 def letters(word: str) -> str:
@@ -45,32 +55,40 @@ def letters(word: str) -> str:
     return word if word.isascii() else unicodedata.normalize("NFD", word)
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def word_vector(word: str) -> Vector:
     return vector(f"^{letters(word)}$")
 
 
-@lru_cache(100_000)
+@lru_cache(20_000)
 def halves(joined: str) -> tuple[Vector, Vector]:
     s = f"^{letters(joined)}$"
     h = (len(s) + 1) // 2
     return vector(s[: h + 1]), vector(s[h - 1 :])
 
 
+@lru_cache(50_000)
+def _parts(core: str) -> tuple:
+    """The vectors of the words of a name of two, else its words."""
+    v = core.split()
+    return (word_vector(v[0]), word_vector(v[1])) if len(v) == 2 else (v,)
+
+
 def name_cosine(core1: str, core2: str) -> float:
     """The cosine of two names, given as words separated by blanks; 1 for equal ones, 0 if one is empty."""
     if core1 == core2:
         return 1.0 if core1 else 0.0
-    v, w = core1.split(), core2.split()
-    if len(v) == 2 and len(w) == 2:
-        a, b, c, d = (word_vector(x) for x in (*v, *w))
+    x, y = _parts(core1), _parts(core2)
+    if len(x) == 2 and len(y) == 2:
+        (a, b), (c, d) = x, y
         return max(cosine(a, c) * cosine(b, d), cosine(a, d) * cosine(b, c))
+    v, w = core1.split(), core2.split()
     best = 0.0
-    for x in {"".join(v), "".join(sorted(v)), "".join(v[::-1])}:
-        for y in {"".join(w), "".join(sorted(w))}:
-            if x == y:
+    for s in {"".join(v), "".join(sorted(v)), "".join(v[::-1])}:
+        for t in {"".join(w), "".join(sorted(w))}:
+            if s == t:
                 return 1.0
-            (a, b), (c, d) = halves(x), halves(y)
+            (a, b), (c, d) = halves(s), halves(t)
             best = max(best, cosine(a, c) * cosine(b, d))
     return best
 
@@ -99,8 +117,13 @@ def sketch(text: str, slots: int = 64) -> int:
     return out - (1 << slots) if out >> (slots - 1) else out
 
 
+@lru_cache(50_000)
+def word_sketch(word: str) -> int:
+    return sketch(f"^{word}$")
+
+
 def sketches(core: list[str]) -> tuple[int, int]:
     """Of a name of two words those of its words; else that of the whole, and 0."""
     if len(core) == 2:
-        return sketch(f"^{core[0]}$"), sketch(f"^{core[1]}$")
+        return word_sketch(core[0]), word_sketch(core[1])
     return sketch("".join(core)), 0
