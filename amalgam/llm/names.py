@@ -131,7 +131,10 @@ def average_linkage(edges: DataFrame, least: float) -> DataFrame:
     member = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("cluster", F.col("node"))
     mean = F.col("s") / (F.col("x1") * F.col("y2") + F.col("x2") * F.col("y1"))
     moved = lambda moves: member.join(moves.select("old", "new"), F.col("cluster") == F.col("old"), "left").select("node", F.coalesce("new", "cluster").alias("cluster"))
-    left = at.where(mean >= least).count()
+    counted = at.agg(F.count("*").alias("n"), F.count_if(mean >= least).alias("above")).first()
+    if counted.n <= 2 * REST:
+        return moved(cut(at.coalesce(1).mapInArrow(_merge_all(least), "old string, new string")))
+    left = counted.above
     for _ in range(ROUNDS):
         good = at.withColumn("mean", mean).where(F.col("mean") >= least)
         if left <= REST:  # an edge can only rise above the threshold by a merge if both its ends have one above it

@@ -24,17 +24,32 @@ from pyspark.sql import functions as F
 
 from amalgam.functions.values import is_missing
 from amalgam.llm.looks import folded
-from amalgam.llm.vectors import sketches
+from amalgam.llm.vectors import sketch, sketches
 from amalgam.sources.tables import cut
 
 #: The share of all distinct values that a common word holds, and how many it holds at least (fewer show nothing).
 COMMON, EVIDENCE = 0.0003, 4
 
 
+def _plain_letters() -> dict[int, str]:
+    """Latin letters with accents (as they are composed) to the letters without, and blanks of one width to the plain one."""
+    out = {c: " " for c in (0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)}
+    for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        base = unicodedata.normalize("NFD", chr(c))
+        if len(base) > 1 and base[0].isascii() and base[0].isalpha():
+            out[c] = base[0]
+    return out | {0x110: "D", 0x111: "d", 0x141: "L", 0x142: "l", 0xD8: "O", 0xF8: "o"}
+
+
+LATIN = _plain_letters()
+
+
 @lru_cache(20_000)
 def fold(value: str) -> str:
     """Lower case without accents or look-alikes; ae, oe, ue as a, o, u."""
-    s = value if value.isascii() else folded(value)
+    s = value if value.isascii() else value.translate(LATIN)
+    if not s.isascii():
+        s = folded(value)
     s = s.casefold()
     if not s.isascii():
         s = unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", s) if not "̀" <= c <= "ͯ"))
@@ -79,8 +94,7 @@ class Words:
                 for x in _less(w):
                     self.at.setdefault(x, w)
         #: Scripts written without blanks may run a common word and a name together; so do compounds of long words.
-        self.glued = sorted((w for w in common if len(w) > (0 if w[0] > "ԯ" else 4)), key=len, reverse=True)
-        self.ends = {w[-1] for w in self.glued} | {w[0] for w in self.glued if w[0] > "ԯ"}
+        self.longest = max((len(w) for w in common), default=0)
         self.seen: dict[str, tuple[str, tuple[int, ...]]] = {}
 
     def split(self, word: str) -> tuple[str, tuple[int, ...]]:
@@ -100,14 +114,18 @@ class Words:
                 if near and abs(len(near) - len(word)) <= 1:
                     return "", (self.id[near],)
         marks: tuple[int, ...] = ()
-        if word[-1] in self.ends or word[0] in self.ends:
-            least = 2 if word[0] > "ԯ" else 4
-            for g in self.glued:
-                if len(word) >= len(g) + least:
-                    if word.endswith(g):
-                        word, marks = word[: -len(g)], (*marks, self.id[g])
-                    elif g[0] > "ԯ" and word.startswith(g):
-                        word, marks = word[len(g) :], (*marks, self.id[g])
+        wide = word[0] > "ԯ"
+        shortest, least = (1, 2) if wide else (5, 4)
+        found = True
+        while found:
+            found = False
+            for k in range(min(len(word) - least, self.longest), shortest - 1, -1):
+                for end, rest in ((word[-k:], word[:-k]), (word[:k], word[k:]) if wide else ("", "")):
+                    if end in self.id and (end[0] > "ԯ") == wide:
+                        word, marks, found = rest, (*marks, self.id[end]), True
+                        break
+                if found:
+                    break
         return word, marks
 
     def __call__(self, words: list[str]) -> tuple[list[str], list[int]]:
@@ -184,10 +202,10 @@ def parse_name(words: Words, value: str) -> tuple:
 
 
 def parse_address(words: Words, value: str | None, country: str | None) -> tuple:
-    """(house, post, street, marks, keys) of a folded address; the country is a mark like any other, also where the address is missing."""
+    """(house, post, street, marks, keys, sketch) of a folded address; the country is a mark like any other, also where the address is missing."""
     if value is None:
         i = words.id.get(country)
-        return None, None, None, [] if i is None else [i], []
+        return None, None, None, [] if i is None else [i], [], 0
     s = UNIT.sub(" ; ", value)
     post = ""
     if m := POSTCODES.search(s):
@@ -206,7 +224,8 @@ def parse_address(words: Words, value: str | None, country: str | None) -> tuple
     street, marks = words([w for w in words_of(s) if len(w) > 1 or not w.isascii()])
     if country and (i := words.id.get(country)) is not None:
         marks = sorted({*marks, i})
-    return house, post, " ".join(sorted(set(street))), marks, street_keys(house, post, street)
+    street = sorted(set(street))
+    return house, post, " ".join(street), marks, street_keys(house, post, street), sketch("".join(street))
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +262,7 @@ def common_words(*distinct: DataFrame) -> list[str]:
 
 _MARKS = _KEYS = pa.list_(pa.int32())
 NAME_FIELDS = {"core": pa.string(), "marks": _MARKS, "keys": _KEYS, "sketch_a": pa.int64(), "sketch_b": pa.int64()}
-ADDRESS_FIELDS = {"house": pa.string(), "post": pa.string(), "street": pa.string(), "places": _MARKS, "address_keys": _KEYS}
+ADDRESS_FIELDS = {"house": pa.string(), "post": pa.string(), "street": pa.string(), "places": _MARKS, "address_keys": _KEYS, "street_sketch": pa.int64()}
 _DDL = {pa.string(): "string", pa.int64(): "bigint", _MARKS: "array<int>"}
 
 

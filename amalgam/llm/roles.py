@@ -16,6 +16,7 @@ Defined results: without values there are no roles, every word can be dropped an
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -110,13 +111,22 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(words) of each value -> how many values hold each word and each two words."""
-    counts: dict = {}
-    for b in batches:
-        for words in b.column(0).to_pylist():
-            counts["T", 0, 0] = counts.get(("T", 0, 0), 0) + 1
+    seen: Counter[tuple[int, ...]] = Counter()
+    counts: Counter = Counter()
+
+    def expand() -> None:
+        for words, n in seen.items():
+            counts["T", 0, 0] += n
             for i, u in enumerate(words):
                 for v in words[i:]:
-                    counts["t", u, v] = counts.get(("t", u, v), 0) + 1
+                    counts["t", u, v] += n
+        seen.clear()
+
+    for b in batches:
+        seen.update(map(tuple, b.column(0).to_pylist()))
+        if len(seen) > 50_000:
+            expand()
+    expand()
     yield _rows(counts)
 
 

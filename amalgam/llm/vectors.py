@@ -22,25 +22,34 @@ SLOTS = 256
 Vector = tuple[int, int, float]
 
 
+class _Bits(dict):
+    """The bits of each two, or each three, letters met so far."""
+
+    def __missing__(self, key: str) -> int:
+        c = list(map(ord, key))
+        low = sorted(c)
+        if len(c) == 2:
+            bits = 1 << (c[0] * 31 + c[1]) % SLOTS | 1 << SLOTS + (low[0] * 31 + low[1]) % SLOTS
+        else:
+            bits = 1 << 2 * SLOTS + (low[0] * 961 + low[1] * 31 + low[2]) % SLOTS
+        if len(self) < 100_000:
+            self[key] = bits
+        return bits
+
+
+_bits = _Bits()
+
+
 def vector(text: str) -> Vector:
     """Of a text whose ends are marked ^ and $ by the caller."""
     bits = first = 0
-    codes = list(map(ord, text))
-    before = last = -1
-    for c in codes:
-        if last >= 0:
-            low, high = (last, c) if last < c else (c, last)
-            own = 1 << (last * 31 + c) % SLOTS | 1 << SLOTS + (low * 31 + high) % SLOTS
-            if before >= 0:
-                x, y, z = sorted((before, last, c))
-                three = 1 << 2 * SLOTS + (x * 961 + y * 31 + z) % SLOTS
-                bits |= three
-                if before == 94:  # ^
-                    first |= three
-            bits |= own
-            if last == 94:
-                first |= own
-        before, last = last, c
+    n = len(text)
+    for i in range(n - 1):
+        bits |= _bits[text[i : i + 2]]
+    for i in range(n - 2):
+        bits |= _bits[text[i : i + 3]]
+    if text[:1] == "^" and n > 1:
+        first = _bits[text[:2]] | (_bits[text[:3]] if n > 2 else 0)
     return bits, first, sqrt(bits.bit_count() + (START - 1) * first.bit_count())
 
 
@@ -55,7 +64,7 @@ def letters(word: str) -> str:
     return word if word.isascii() else unicodedata.normalize("NFD", word)
 
 
-@lru_cache(50_000)
+@lru_cache(150_000)
 def word_vector(word: str) -> Vector:
     return vector(f"^{letters(word)}$")
 
@@ -67,7 +76,7 @@ def halves(joined: str) -> tuple[Vector, Vector]:
     return vector(s[: h + 1]), vector(s[h - 1 :])
 
 
-@lru_cache(50_000)
+@lru_cache(100_000)
 def _parts(core: str) -> tuple:
     """The vectors of the words of a name of two, else its words."""
     v = core.split()
@@ -108,13 +117,26 @@ def words_cosine(words1: list[str], words2: list[str]) -> float:
     return whole
 
 
-def sketch(text: str, slots: int = 64) -> int:
-    """The slots into which the unordered bigrams of a text are hashed, as bits of a signed number."""
+class _Slots(dict):
+    """The bit of each two letters in a sketch."""
+
+    def __missing__(self, key: str) -> int:
+        a, b = sorted(map(ord, key))
+        bit = 1 << (a * 31 + b) % 64
+        if len(self) < 100_000:
+            self[key] = bit
+        return bit
+
+
+_slots = _Slots()
+
+
+def sketch(text: str) -> int:
+    """64 slots into which the unordered bigrams of a text are hashed, as bits of a signed number."""
     out, s = 0, letters(text)
-    for a, b in zip(s, s[1:]):
-        a, b = ord(a), ord(b)
-        out |= 1 << (a * 31 + b if a < b else b * 31 + a) % slots
-    return out - (1 << slots) if out >> (slots - 1) else out
+    for i in range(len(s) - 1):
+        out |= _slots[s[i : i + 2]]
+    return out - (1 << 64) if out >> 63 else out
 
 
 @lru_cache(50_000)
