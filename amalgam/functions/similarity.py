@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from amalgam.functions.batches import jaro_winkler_ratios, partial_token_set_ratios, ratios
 from amalgam.functions.text import char_grams, text, token_set, word_sort
 
 
@@ -43,8 +45,8 @@ def length_ratio(a: Column, b: Column) -> Column:
 
 
 def token_overlap(n1: Column, a1: Column, n2: Column, a2: Column) -> Column:
-    """The number of words of name or address that both records hold."""
-    return F.size(F.array_intersect(F.array_union(token_set(n1), token_set(a1)), F.array_union(token_set(n2), token_set(a2))))
+    """The number of words of name or address that both records hold, from their sets of words."""
+    return F.size(F.array_intersect(F.array_union(n1, a1), F.array_union(n2, a2)))
 
 
 def prefix_match(a: Column, b: Column, n: int) -> Column:
@@ -55,91 +57,21 @@ def same_country(a: Column, b: Column) -> Column:
     return ((text(a) == text(b)) & (text(a) != "")).cast("double")
 
 
-def difficulty(n1: Column, a1: Column, c1: Column, n2: Column, a2: Column, c2: Column) -> Column:
-    """How hard a pair is to tell from a match: half the names, three tenths the addresses, a fifth the country."""
+def difficulty(names: Column, addresses: Column, c1: Column, c2: Column) -> Column:
+    """How hard a pair is to tell from a match: half the likeness of names, three tenths that of addresses, a fifth the country."""
     low = lambda c: F.lower(text(c))
-    return 0.5 * token_jaccard(n1, n2) + 0.3 * token_jaccard(a1, a2) + 0.2 * same_country(low(c1), low(c2))
-
-
-def lcs_ratio(a: str, b: str) -> float:
-    """2 LCS / (len a + len b), by bit-parallel longest common subsequence; 1 for two empty texts."""
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    at: dict[str, int] = {}
-    for i, c in enumerate(a):
-        at[c] = at.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for c in b:
-        seen = row & at.get(c, 0)
-        row = ((row + seen) | (row - seen)) & full
-    return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
-
-
-def jaro_winkler_ratio(a: str, b: str) -> float:
-    """Jaro similarity with a bonus of a tenth for each of up to 4 equal first characters, above 0.7; 1 for two empty texts."""
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    taken, hits = [False] * len(b), []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == c:
-                taken[j] = True
-                hits.append(c)
-                break
-    if not hits:
-        return 0.0
-    moved = sum(x != y for x, y in zip(hits, [b[j] for j in range(len(b)) if taken[j]])) // 2
-    m = len(hits)
-    jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
-    if jaro <= 0.7:
-        return jaro
-    same = 0
-    while same < min(4, len(a), len(b)) and a[same] == b[same]:
-        same += 1
-    return jaro + same * 0.1 * (1 - jaro)
-
-
-def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter text against windows of the longer one, also those cut off at its ends."""
-    if len(a) == len(b):
-        return max(_windows(a, b), _windows(b, a))
-    return _windows(*sorted((a, b), key=len))
-
-
-def _windows(short: str, long_: str) -> float:
-    if not short or not long_:
-        return float(short == long_)
-    k, best = len(short), 0.0
-    for i in range(1 - k, len(long_)):
-        best = max(best, lcs_ratio(short, long_[max(0, i) : i + k]))
-        if best == 1:
-            break
-    return best
-
-
-def partial_token_set_ratio(a: str, b: str) -> float:
-    """0 without words on a side, 1 with a word in common, else the partial ratio of the sorted words."""
-    x, y = set(a.split()), set(b.split())
-    if not x or not y:
-        return 0.0
-    return 1.0 if x & y else partial_ratio(" ".join(sorted(x)), " ".join(sorted(y)))
-
-
-def _udf(f: Callable[[str, str], float]):
+    return 0.5 * names + 0.3 * addresses + 0.2 * same_country(low(c1), low(c2))
+
+
+def _udf(f: Callable[[list[str], list[str]], np.ndarray]):
     @F.pandas_udf(DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([f(x, y) for x, y in zip(a, b)], dtype="float64")
+        return pd.Series(f(a.tolist(), b.tolist()), dtype="float64")
 
     return run
 
 
-_ratio, _jw, _partial = _udf(lcs_ratio), _udf(jaro_winkler_ratio), _udf(partial_token_set_ratio)
+_ratio, _jw, _partial = _udf(ratios), _udf(jaro_winkler_ratios), _udf(partial_token_set_ratios)
 
 
 def ratio(a: Column, b: Column) -> Column:

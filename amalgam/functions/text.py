@@ -32,6 +32,9 @@ ABBREVIATIONS = {
     "ma": "massachusetts",
 }
 
+#: The same table without its last entry, for the nine features of lower-cased fields. Fixed.
+ABBREVIATIONS_V1 = {k: v for k, v in ABBREVIATIONS.items() if k != "ma"}
+
 #: The kinds of blocking keys in the order that breaks ties.
 KEY_KINDS = ("n6", "a6", "n3a3", "t1", "s2", "num")
 
@@ -63,9 +66,9 @@ def expand_abbreviations(c: Column, table: dict[str, str] = ABBREVIATIONS, lower
     return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
 
 
-def token_set(c: Column) -> Column:
+def token_set(c: Column, table: dict[str, str] = ABBREVIATIONS) -> Column:
     """Distinct words after abbreviations are written out."""
-    return F.array_distinct(F.filter(F.split(expand_abbreviations(c), " "), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.split(expand_abbreviations(c, table), " "), lambda t: t != ""))
 
 
 def word_sort(c: Column) -> Column:

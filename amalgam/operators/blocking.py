@@ -47,40 +47,76 @@ def histogram(postings: DataFrame, cap: int = CAP) -> DataFrame:
     return postings.groupBy("key").count().groupBy(F.col("count").alias("size")).agg(F.count("*").alias("keys"), F.sum((F.col("count") > cap).cast("long")).alias("over"))
 
 
-def overlaps(queries: DataFrame, target_rows: DataFrame, cap: int = CAP) -> DataFrame:
+def index(target_rows: DataFrame, cap: int | None = CAP) -> DataFrame:
+    """(key, ord, candidate_entity_id, head): the postings that candidates are looked up in, to be used at once or kept (sources.tsv).
+
+    head: the beginning of the name that the id's last row has, for re-ranking. cap None: all postings, however many a key has.
+    """
+    keys = keyed(target_rows)
+    kept = capped(keys, cap) if cap is not None else keys
+    heads = target_rows.groupBy("entity_id").agg(F.max_by(F.left("business_name", F.lit(HEAD)), "ord").alias("head"))
+    return kept.select("key", "ord", "entity_id").join(heads, "entity_id").select("key", "ord", F.col("entity_id").alias("candidate_entity_id"), "head")
+
+
+def overlaps(queries: DataFrame, postings: DataFrame) -> DataFrame:
     """(s_ord, source1_entity_id, candidate_entity_id, n, first): how many keys a query shares with each candidate.
 
     A target id that stands twice under a key counts twice. `first` is where a scan of the query's keys would first meet it.
     """
     left = keyed(queries).select(F.col("ord").alias("s_ord"), F.col("entity_id").alias("source1_entity_id"), "kind", "key")
-    right = capped(keyed(target_rows), cap).select("key", "ord", F.col("entity_id").alias("candidate_entity_id"))
-    met = left.join(right, "key").where("candidate_entity_id <> source1_entity_id")
+    met = left.join(postings.select("key", "ord", "candidate_entity_id"), "key").where("candidate_entity_id <> source1_entity_id")
     return met.groupBy("s_ord", "source1_entity_id", "candidate_entity_id").agg(F.count("*").alias("n"), F.min(F.struct("kind", "ord")).alias("first"))
 
 
-def candidates(queries: DataFrame, target_rows: DataFrame, k: int = TOP, cap: int = CAP) -> DataFrame:
+def ranked(queries: DataFrame, postings: DataFrame, k: int = TOP) -> DataFrame:
     """(s_ord, source1_entity_id, candidate_entity_id, n, pos): the k candidates with most shared keys, pos from 1."""
     rank = F.row_number().over(Window.partitionBy("s_ord", "source1_entity_id").orderBy(F.desc("n"), "first"))
-    return overlaps(queries, target_rows, cap).withColumn("pos", rank).where(F.col("pos") <= k).drop("first")
+    return overlaps(queries, postings).withColumn("pos", rank).where(F.col("pos") <= k).drop("first")
+
+
+def plain_index(target_rows: DataFrame, cap: int | None = CAP) -> DataFrame:
+    """The postings without heads, where names aren't compared."""
+    keys = keyed(target_rows)
+    return (capped(keys, cap) if cap is not None else keys).select("key", "ord", F.col("entity_id").alias("candidate_entity_id"))
+
 
+def candidates(queries: DataFrame, target_rows: DataFrame, k: int = TOP, cap: int | None = CAP) -> DataFrame:
+    """ranked() over an index made for this once."""
+    return ranked(queries, plain_index(target_rows, cap), k)
 
-def reranked(queries: DataFrame, target_rows: DataFrame, k: int = TOP, cap: int = CAP) -> DataFrame:
-    """As candidates(), but a query with more than k candidates has its best 2k ordered again by shared keys and likeness of names.
 
-    Names are compared (in an Arrow UDF) for those pools only.
+def reranked_by(queries: DataFrame, postings: DataFrame, heads: DataFrame, k: int = TOP) -> DataFrame:
+    """As ranked(), but a query with more than k candidates has its best 2k ordered again by shared keys and likeness of names.
+
+    heads: (candidate_entity_id, head2), one for each id. Names are compared (in an Arrow UDF) for those pools only.
     """
     per = Window.partitionBy("s_ord", "source1_entity_id")
-    pool = overlaps(queries, target_rows, cap).withColumn("r1", F.row_number().over(per.orderBy(F.desc("n"), "first"))).where(F.col("r1") <= 2 * k)
+    pool = overlaps(queries, postings).withColumn("r1", F.row_number().over(per.orderBy(F.desc("n"), "first"))).where(F.col("r1") <= 2 * k)
     pool = pool.withColumn("all", F.count("*").over(per)).drop("first")
     few, many = pool.where(F.col("all") <= k), pool.where(F.col("all") > k)
-    head = lambda df: df.groupBy("entity_id").agg(F.max_by(F.left("business_name", F.lit(HEAD)), "ord").alias("head"))
-    named = many.join(queries.select(F.col("ord").alias("s_ord"), F.left("business_name", F.lit(HEAD)).alias("head1")), "s_ord")
-    named = named.join(head(target_rows).select(F.col("entity_id").alias("candidate_entity_id"), F.col("head").alias("head2")), "candidate_entity_id")
+    named = many.join(queries.select(F.col("ord").alias("s_ord"), F.left("business_name", F.lit(HEAD)).alias("head1")), "s_ord").join(heads, "candidate_entity_id")
     again = named.withColumn("like", ratio(F.col("head1"), F.col("head2"))).withColumn("pos", F.row_number().over(per.orderBy(F.desc("n"), F.desc("like"), "r1"))).where(F.col("pos") <= k)
     cols = ["s_ord", "source1_entity_id", "candidate_entity_id", "n", "pos"]
     return few.withColumn("pos", F.col("r1")).select(*cols).unionByName(again.select(*cols))
 
 
+def heads_of(target_rows: DataFrame) -> DataFrame:
+    return target_rows.groupBy(F.col("entity_id").alias("candidate_entity_id")).agg(F.max_by(F.left("business_name", F.lit(HEAD)), "ord").alias("head2"))
+
+
+def reranked(queries: DataFrame, target_rows: DataFrame, k: int = TOP, cap: int | None = CAP) -> DataFrame:
+    """reranked_by() over an index made for this once."""
+    return reranked_by(queries, plain_index(target_rows, cap), heads_of(target_rows), k)
+
+
+def search(queries: DataFrame, kept: DataFrame, k: int = TOP, rerank: bool = True) -> DataFrame:
+    """candidates() or reranked() from an index that was kept, without the targets themselves."""
+    if not rerank:
+        return ranked(queries, kept, k)
+    heads = kept.select("candidate_entity_id", F.col("head").alias("head2")).dropDuplicates(["candidate_entity_id"])
+    return reranked_by(queries, kept, heads, k)
+
+
 def lists(queries: DataFrame, pairs: DataFrame, name: str = "candidate_entity_ids") -> DataFrame:
     """(source1_entity_id, <name>): a comma list for each query row, empty where there are no pairs."""
     gathered = pairs.groupBy("s_ord").agg(F.array_sort(F.collect_list(F.struct("pos", "candidate_entity_id"))).alias("xs"))

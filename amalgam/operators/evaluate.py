@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Weights of the first model and thresholds that are tried.
 WEIGHTS, THRESHOLDS = (0.3, 0.4, 0.5, 0.6, 0.7), (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8)
 
 
-def grid(spark: SparkSession, weights=WEIGHTS, thresholds=THRESHOLDS) -> DataFrame:
-    """(i, w, t): all combinations, numbered in order."""
-    rows = [(i, w, t) for i, (w, t) in enumerate((w, t) for w in weights for t in thresholds)]
-    return spark.createDataFrame(rows, "i int, w double, t double")
+def grid(weights=WEIGHTS, thresholds=THRESHOLDS) -> Column:
+    """All combinations of weights and thresholds as an array of (i, w, t), numbered in order."""
+    each = ((w, t) for w in weights for t in thresholds)
+    return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(w)).alias("w"), F.lit(float(t)).alias("t")) for i, (w, t) in enumerate(each)])
 
 
 def macro_f_beta(y: Column, p: Column, beta: float = 0.5) -> Column:
@@ -29,10 +30,9 @@ def macro_f_beta(y: Column, p: Column, beta: float = 0.5) -> Column:
     return both / F.greatest(has0.cast("int") + has1.cast("int"), F.lit(1))
 
 
-def grid_scores(scored: DataFrame, over: DataFrame | None = None, beta: float = 0.5) -> DataFrame:
-    """(i, w, t, f_beta) of (label, p1, p2): the grid is a few dozen rows and is broadcast."""
-    over = grid(scored.sparkSession) if over is None else over
-    each = scored.select("label", "p1", "p2").crossJoin(F.broadcast(over))
+def grid_scores(scored: DataFrame, over: Column | None = None, beta: float = 0.5) -> DataFrame:
+    """(i, w, t, f_beta) of (label, p1, p2): each row is set against the few dozen entries of the grid where it stands."""
+    each = scored.select("label", "p1", "p2", F.explode(grid() if over is None else over).alias("g")).select("label", "p1", "p2", "g.*")
     predicted = ((F.col("w") * F.col("p1") + (1 - F.col("w")) * F.col("p2")) >= F.col("t")).cast("int")
     return each.withColumn("y", predicted).groupBy("i", "w", "t").agg(macro_f_beta(F.col("label"), F.col("y"), beta).alias("f_beta"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from amalgam.functions.similarity import difficulty
+from amalgam.functions.similarity import difficulty, jaccard
+from amalgam.functions.text import ABBREVIATIONS
 from amalgam.operators.pairs import KEY, join_records, last_by_id
 
 
@@ -16,27 +17,28 @@ def labelled(pairs: DataFrame, truth: DataFrame) -> DataFrame:
 
 def scored(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """pairs with `difficulty`; ids that stand several times count by the record that arrived last."""
-    joined = join_records(pairs, last_by_id(left), last_by_id(right))
-    c = lambda x, n: F.col(f"{x}_{n}")
-    value = difficulty(*[c(x, n) for n in (1, 2) for x in ("business_name", "business_address", "country")])
+    joined = join_records(pairs, last_by_id(left), last_by_id(right), table=ABBREVIATIONS)
+    same = lambda w: jaccard(F.col(f"{w}_1"), F.col(f"{w}_2"))
+    value = difficulty(same("name_words"), same("address_words"), F.col("country_1"), F.col("country_2"))
     return joined.withColumn("difficulty", value).select(*pairs.columns, "difficulty")
 
 
-def hard_negatives(pairs: DataFrame, truth: DataFrame, left: DataFrame, right: DataFrame, keep_ratio: float = 0.5) -> DataFrame:
-    """The negatives hardest to tell from matches, as many as max(1, 1/keep_ratio) times the positive candidate rows.
+def hard_negatives(pairs: DataFrame, truth: DataFrame, left: DataFrame, right: DataFrame, keep_ratio: float = 0.5, most: int | None = None) -> DataFrame:
+    """The negatives hardest to tell from matches, as many as max(1, 1/keep_ratio) times the positive candidate rows, `most` at most.
 
     Hardest first; of equal ones the later pair. One top-n over all partitions, without a sort of the whole.
     """
     marked = labelled(pairs, truth)
     n = int(marked.where("label = 1").count() * max(1, 1 / keep_ratio))
+    n = n if most is None else min(n, most)
     negatives = scored(marked.where("label = 0"), left, right)
     return negatives.orderBy(F.desc("difficulty"), F.desc("source1_entity_id"), F.desc("pos")).limit(n)
 
 
-def training_set(pairs: DataFrame, truth: DataFrame, left: DataFrame, right: DataFrame, keep_ratio: float = 0.5) -> DataFrame:
+def training_set(pairs: DataFrame, truth: DataFrame, left: DataFrame, right: DataFrame, keep_ratio: float = 0.5, most: int | None = None) -> DataFrame:
     """Positives and hard negatives."""
     positives = scored(labelled(pairs, truth).where("label = 1"), left, right)
-    return positives.unionByName(hard_negatives(pairs, truth, left, right, keep_ratio))
+    return positives.unionByName(hard_negatives(pairs, truth, left, right, keep_ratio, most))
 
 
 def class_balance(df: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from amalgam.functions import similarity as S
-from amalgam.functions.text import text
+from amalgam.functions.text import ABBREVIATIONS, ABBREVIATIONS_V1, text, token_set
+from amalgam.sources.tables import numbered
 
 RECORD = ["business_name", "business_address", "country"]
 KEY = ["source1_entity_id", "candidate_entity_id"]
@@ -25,19 +26,34 @@ def last_by_id(df: DataFrame) -> DataFrame:
     return df.groupBy("entity_id").agg(last.alias("r")).select("entity_id", "r.*")
 
 
-def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    a = left.select(F.col("entity_id").alias("source1_entity_id"), *[text(F.col(c)).alias(f"{c}_1") for c in RECORD])
-    b = right.select(F.col("entity_id").alias("candidate_entity_id"), *[text(F.col(c)).alias(f"{c}_2") for c in RECORD])
-    return a, b
+#: Sets of words that records may carry into the join of pairs, so that each record's are made once.
+WORDS = {"name_words": "business_name", "address_words": "business_address"}
 
 
-def join_records(pairs: DataFrame, left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """pairs with the fields of both records (suffixes _1 and _2); ids that stand several times fan out. left: missing ones are empty."""
-    a, b = _sides(left, right)
-    out = pairs.join(a, "source1_entity_id", how).join(b, "candidate_entity_id", how)
+def _side(df: DataFrame, id_col: str, n: int, table: dict[str, str] | None) -> DataFrame:
+    words = [token_set(F.col(c), table).alias(f"{w}_{n}") for w, c in WORDS.items()] if table else []
+    return df.select(F.col("entity_id").alias(id_col), *[text(F.col(c)).alias(f"{c}_{n}") for c in RECORD], *words)
+
+
+def join_records(pairs: DataFrame, left: DataFrame, right: DataFrame, how: str = "inner", table: dict[str, str] | None = None) -> DataFrame:
+    """pairs with the fields of both records (suffixes _1 and _2); ids that stand several times fan out. left: missing ones are empty.
+
+    table: abbreviations; both records then carry their sets of words, too, with these written out.
+    """
+    a, b = _side(left, KEY[0], 1, table), _side(right, KEY[1], 2, table)
+    out = pairs.join(a, KEY[0], how).join(b, KEY[1], how)
     return out if how == "inner" else out.fillna("", [f"{c}_{n}" for c in RECORD for n in (1, 2)])
 
 
+def word_sets(pairs: DataFrame, table: dict[str, str]) -> tuple[DataFrame, list[Column]]:
+    """pairs with the sets of words of both names and both addresses, made here where the records don't carry them; the four columns."""
+    for w, c in WORDS.items():
+        for n in (1, 2):
+            if f"{w}_{n}" not in pairs.columns:
+                pairs = pairs.withColumn(f"{w}_{n}", token_set(F.col(f"{c}_{n}"), table))
+    return pairs, [F.col(f"{w}_{n}") for w in WORDS for n in (1, 2)]
+
+
 def names_of(c: str) -> tuple[Column, Column]:
     return F.col(f"{c}_1"), F.col(f"{c}_2")
 
@@ -47,13 +63,14 @@ def features_v1(pairs: DataFrame) -> DataFrame:
     n1, n2 = (F.lower(c) for c in names_of("business_name"))
     a1, a2 = (F.lower(c) for c in names_of("business_address"))
     c1, c2 = (F.lower(c) for c in names_of("country"))
-    return _nine(pairs, n1, n2, a1, a2, c1, c2)
+    return _nine(pairs, n1, n2, a1, a2, c1, c2, ABBREVIATIONS_V1)
 
 
-def _nine(pairs: DataFrame, n1: Column, n2: Column, a1: Column, a2: Column, c1: Column, c2: Column) -> DataFrame:
+def _nine(pairs: DataFrame, n1: Column, n2: Column, a1: Column, a2: Column, c1: Column, c2: Column, table: dict[str, str]) -> DataFrame:
+    pairs, (v1, v2, w1, w2) = word_sets(pairs, table)
     return pairs.withColumns({
         "name_jw": S.jaro_winkler(n1, n2), "addr_jw": S.jaro_winkler(a1, a2),
-        "name_jaccard": S.token_jaccard(n1, n2), "addr_jaccard": S.token_jaccard(a1, a2),
+        "name_jaccard": S.jaccard(v1, v2), "addr_jaccard": S.jaccard(w1, w2),
         "name_partial": S.partial_token_set(n1, n2), "addr_partial": S.partial_token_set(a1, a2),
         "name_sort": S.token_sort_ratio(n1, n2), "addr_sort": S.token_sort_ratio(a1, a2),
         "country_match": S.same_country(c1, c2),
@@ -69,10 +86,11 @@ def features_v2(pairs: DataFrame) -> DataFrame:
     n1, n2 = names_of("business_name")
     a1, a2 = names_of("business_address")
     both = lambda n, a: F.concat(n, F.lit(" "), a)
-    out = _nine(pairs, n1, n2, a1, a2, *names_of("country"))
+    out = _nine(pairs, n1, n2, a1, a2, *names_of("country"), ABBREVIATIONS)
+    _, (v1, v2, w1, w2) = word_sets(out, ABBREVIATIONS)
     out = out.withColumns({
         "char_bigram_dice": S.bigram_dice(both(n1, a1), both(n2, a2)), "char_trigram_jaccard": S.trigram_jaccard(n1, n2),
-        "name_len_ratio": S.length_ratio(n1, n2), "addr_len_ratio": S.length_ratio(a1, a2), "token_overlap_count": S.token_overlap(n1, a1, n2, a2),
+        "name_len_ratio": S.length_ratio(n1, n2), "addr_len_ratio": S.length_ratio(a1, a2), "token_overlap_count": S.token_overlap(v1, w1, v2, w2),
         "name_prefix4_match": S.prefix_match(n1, n2, 4), "name_prefix8_match": S.prefix_match(n1, n2, 8),
     })
     cosines = tfidf_cosine(pairs.select(*KEY, both(n1, a1).alias("text_1"), both(n2, a2).alias("text_2")))
@@ -95,25 +113,28 @@ def grams(docs: DataFrame, n: int = 3) -> DataFrame:
     return docs.select("doc", t.alias("s")).select("doc", F.explode(each).alias("gram")).groupBy("doc", "gram").agg(F.count("*").alias("tf"))
 
 
-def tfidf_cosine(pairs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+def tfidf_cosine(pairs: DataFrame, weights: DataFrame | None = None, max_features: int = 50_000) -> DataFrame:
     """(source1_entity_id, candidate_entity_id, text_1, text_2, tfidf_cosine) for each distinct pair.
 
     weights: a fitted idf table; by default it is fitted on the given pairs, each giving both of its texts. Each distinct text is
-    taken apart once, and a pair's product is summed from its two texts' vectors, never from all pairs of texts.
+    taken apart once, and a pair's product is summed from its two texts' vectors, never from all pairs of texts. Texts travel as a hash
+    of 128 bits.
     """
-    both = pairs.select("text_1").unionAll(pairs.select("text_2")).toDF("t")
+    pairs = pairs.withColumns({"doc_1": F.md5("text_1"), "doc_2": F.md5("text_2")})
+    both = pairs.select(F.explode(F.array(F.struct(F.col("doc_1").alias("doc"), F.col("text_1").alias("t")), F.struct(F.col("doc_2").alias("doc"), F.col("text_2").alias("t")))).alias("x"))
+    times = both.groupBy("x.doc").agg(F.first("x.t").alias("t"), F.count("*").alias("m"))
+    each = grams(times.select("doc", "t"))
     if weights is None:
-        times = both.groupBy("t").agg(F.count("*").alias("m"))
-        counted = grams(times.select(F.col("t").alias("doc"), "t")).join(times.withColumnRenamed("t", "doc"), "doc")
-        total = 2 * pairs.count()
-        kept = counted.groupBy("gram").agg(F.sum(F.col("tf") * F.col("m")).alias("total"), F.sum("m").alias("df")).orderBy(F.desc("total"), "gram").limit(50_000)
-        weights = kept.select("gram", (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1).alias("idf"))
-    vectors = grams(both.distinct().select(F.col("t").alias("doc"), "t")).join(weights, "gram").select("doc", "gram", (F.col("tf") * F.col("idf")).alias("w"))
+        counted = each.join(times.select("doc", "m"), "doc")
+        total = times.agg(F.sum("m").alias("total"))  # one row
+        kept = counted.groupBy("gram").agg(F.sum(F.col("tf") * F.col("m")).alias("all"), F.sum("m").alias("df")).orderBy(F.desc("all"), "gram").limit(max_features)
+        weights = kept.crossJoin(F.broadcast(total)).select("gram", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
+    vectors = each.join(weights, "gram").select("doc", "gram", (F.col("tf") * F.col("idf")).alias("w"))
     norms = vectors.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    side = lambda df, n, *cols: df.select(F.col("doc").alias(f"text_{n}"), *[F.col(c).alias(f"{c}{n if c != 'gram' else ''}") for c in cols])
-    texts = pairs.select("text_1", "text_2").distinct()
-    product = texts.join(side(vectors, 1, "gram", "w"), "text_1").join(side(vectors, 2, "gram", "w"), ["text_2", "gram"]).groupBy("text_1", "text_2").agg(F.sum(F.col("w1") * F.col("w2")).alias("p"))
-    joined = pairs.select(*KEY, "text_1", "text_2").distinct().join(product, ["text_1", "text_2"], "left").join(side(norms, 1, "norm"), "text_1", "left").join(side(norms, 2, "norm"), "text_2", "left")
+    side = lambda df, n, *cols: df.select(F.col("doc").alias(f"doc_{n}"), *[F.col(c).alias(f"{c}{n if c != 'gram' else ''}") for c in cols])
+    docs = pairs.select("doc_1", "doc_2").distinct()
+    product = docs.join(side(vectors, 1, "gram", "w"), "doc_1").join(side(vectors, 2, "gram", "w"), ["doc_2", "gram"]).groupBy("doc_1", "doc_2").agg(F.sum(F.col("w1") * F.col("w2")).alias("p"))
+    joined = pairs.select(*KEY, "text_1", "text_2", "doc_1", "doc_2").distinct().join(product, ["doc_1", "doc_2"], "left").join(side(norms, 1, "norm"), "doc_1", "left").join(side(norms, 2, "norm"), "doc_2", "left")
     return joined.select(*KEY, "text_1", "text_2", F.coalesce(F.try_divide("p", F.col("norm1") * F.col("norm2")), F.lit(0.0)).alias("tfidf_cosine"))
 
 
@@ -135,6 +156,6 @@ def match_lists(queries: DataFrame, matched: DataFrame) -> DataFrame:
 
 
 def stratified_folds(pairs: DataFrame, k: int = 5, label: str = "label") -> DataFrame:
-    """pairs with `fold`: rows of each label dealt in turn, in the order of a hash of their ids."""
+    """pairs with `fold`: rows of each label dealt in turn, in the order of a hash of their ids. Numbered over ranges, so a label may hold any share of the rows."""
     order = [F.md5(F.concat_ws("|", *KEY)), *KEY]
-    return pairs.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(*order)) - 1) % k)
+    return numbered(pairs.withColumns({"__h": order[0]}), [label, "__h", *KEY], "fold", [label]).drop("__h").withColumn("fold", (F.col("fold") - 1) % k)

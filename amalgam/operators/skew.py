@@ -1,8 +1,9 @@
 """Results per key when a handful of keys hold most rows.
 
-Each input split is dictionary-encoded and counted into a dense accumulator array (numpy scatter-add), so a task's work follows
-the rows of its split and never a key. What leaves a split is one entry for each key it saw; the entries are hashed into blocks
-of keys and the blocks' arrays are summed. A key that holds a third of all rows arrives as at most one entry per split.
+Each input split is dictionary-encoded and counted into a dense accumulator array (numpy bincount), so a task's work follows
+the rows of its split and never a key. What leaves a split is one entry for each key it saw (and one more each time that HELD keys are
+exceeded); these blocks are summed by Spark's aggregation, which spills where the keys don't fit in memory. A key that holds a third
+of all rows arrives as a few entries per split.
 
 Defined results: null is a key of its own (in counts) and never counts as a distinct value; an empty table gives no rows; repeated
 rows count each time; other columns, whatever their names, are ignored.
@@ -23,41 +24,43 @@ HELD = 200_000
 
 
 def _accumulate(batches: Iterator[pa.RecordBatch], held: int = HELD) -> Iterator[pa.RecordBatch]:
-    """(key, n) -> (key, n): sums by key over a split, in dense arrays of at most about `held` keys."""
-    keys = acc = None
+    """(key, n) -> (key, n): sums by key over a split, in a dense array of at most about `held` keys.
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([keys, pa.array(acc)], ["key", "n"])
+    A batch is dictionary-encoded by itself; its codes are numpy's bins, and its keys are looked up among those held.
+    """
+    place: dict = {}
+    acc = np.zeros(1024, np.int64)
+
+    def out(kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(place), kind), pa.array(acc[: len(place)])], ["key", "n"])
 
+    kind = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        both = batch.column(0) if keys is None else pa.concat_arrays([keys, batch.column(0).cast(keys.type)])
+        kind = batch.column(0).type
+        coded = pc.dictionary_encode(batch.column(0), null_encoding="encode")
         n = batch.column(1).to_numpy(zero_copy_only=False)
-        coded = pc.dictionary_encode(both, null_encoding="encode")
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        weights = n if keys is None else np.concatenate([acc, n])
-        acc = np.zeros(len(coded.dictionary), np.int64)
-        np.add.at(acc, codes, weights)
-        keys = coded.dictionary
-        if len(keys) > held:
-            yield out()
-            keys = acc = None
-    if keys is not None:
-        yield out()
-
-
-def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the blocks that a reducer got. All entries of a key are in one reducer, so nothing may be handed on early."""
-    yield from _accumulate(batches, held=2**62)
+        ones = np.bincount(codes, minlength=len(coded.dictionary))
+        sums = ones if (n == 1).all() else np.add.reduceat(n[np.argsort(codes, kind="stable")], np.concatenate([[0], np.cumsum(ones)[:-1]]))
+        at = np.array([place.setdefault(k, len(place)) for k in coded.dictionary.to_pylist()])
+        if len(place) > len(acc):
+            acc = np.concatenate([acc, np.zeros(max(len(acc), len(place) - len(acc)), np.int64)])
+        acc[at] += sums
+        if len(place) > held:
+            yield out(kind)
+            place, acc = {}, np.zeros(1024, np.int64)
+    if place:
+        yield out(kind)
 
 
 def dense_counts(df: DataFrame, key: str, n: str = "rows") -> DataFrame:
     """(key, n): the number of rows of each value of key, null included."""
     kind = df.schema[key].dataType.simpleString()
     pairs = df.select(F.col(key).alias("key"), F.lit(1).cast("long").alias("n"))
-    local = pairs.mapInArrow(_accumulate, f"key {kind}, n bigint")
-    return local.repartition("key").mapInArrow(_reduce, f"key {kind}, n bigint").select(F.col("key").alias(key), F.col("n").alias(n))
+    splits = pairs.mapInArrow(_accumulate, f"key {kind}, n bigint")
+    return splits.groupBy("key").agg(F.sum("n").alias(n)).withColumnRenamed("key", key)
 
 
 def dense_distinct(df: DataFrame, key: str, value: str, n: str) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amalgam.functions.text import text
+from amalgam.sources.tables import with_positions
+from amalgam.sources.tsv import exists
 
 
 def _found(df: DataFrame, example: Column, rule: str, severity: str = "error") -> DataFrame:
@@ -81,7 +83,7 @@ def malformed_lines(lines: DataFrame) -> DataFrame:
 
 def numbered_lines(df: DataFrame) -> DataFrame:
     """(value, line) of spark.read.text of one file, lines from 1."""
-    return df.withColumn("line", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
+    return with_positions(df, "line")
 
 
 def header_problem(header: str, expected: list[str]) -> str | None:
@@ -101,6 +103,61 @@ def all_checks(df: DataFrame, list_col: str, required: DataFrame, known: DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
+def _said(spark: SparkSession, severity: str, rule: str, example: str = "") -> DataFrame:
+    return spark.createDataFrame([(severity, rule, 1, example)], "severity string, rule string, n bigint, examples string")
+
+
+# The header that each kind of file must have.
+HEADERS = {"matched_entity_ids": ["source1_entity_id", "matched_entity_ids"], "candidate_entity_ids": ["source1_entity_id", "candidate_entity_ids"]}
+
+
+def read_lists(spark: SparkSession, path: str, list_col: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """(rows, problems) of a file of id lists: rows (source1_entity_id, <list>, line) as they stand, none where the file can't be used.
+
+    Missing, empty, not UTF-8, a wrong header: an error, and no rows. A line without a tab that isn't blank: an error, and no row.
+    """
+    if not exists(spark, path):
+        return None, _said(spark, "error", "file missing", path)
+    raw = spark.read.format("binaryFile").load(path).select("length").first()
+    if raw is None or not raw.length:
+        return None, _said(spark, "error", "file empty", path)
+    lines = numbered_lines(spark.read.text(path))
+    if not lines.where(~F.is_valid_utf8("value")).isEmpty():
+        return None, _said(spark, "error", "file isn't UTF-8", path)
+    header = lines.where("line = 1").first().value.removeprefix("\ufeff")
+    if wrong := header_problem(header, HEADERS[list_col]):
+        return None, _said(spark, "error", wrong, header)
+    body = lines.where("line > 1")
+    parts = F.split(F.col("value"), "\t", 2)
+    rows = body.where(F.instr("value", "\t") > 0).select(F.get(parts, 0).alias("source1_entity_id"), F.get(parts, 1).alias(list_col), "line")
+    return rows, malformed_lines(body)
+
+
+def check_file(spark: SparkSession, path: str, list_col: str, required: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame]:
+    """(rows, problems) of a file after all rules; of lines with the same id the last one counts in what follows."""
+    rows, problems = read_lists(spark, path, list_col)
+    if rows is None:
+        return None, problems
+    return last_of_duplicates(rows, list_col, "line"), problems.unionByName(all_checks(rows, list_col, required, known))
+
+
+def check_files(spark: SparkSession, matches: str, candidates: str | None, required: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """All problems of a result file and, if it is there, of the candidate file it must follow from.
+
+    known: the targets; without them ids aren't looked up, which is a warning, as is a candidate file that is missing.
+    """
+    rows, out = check_file(spark, matches, "matched_entity_ids", required, known)
+    if known is None:
+        out = out.unionByName(_said(spark, "warning", "ids weren't looked up"))
+    if candidates is None or not exists(spark, candidates):
+        return out.unionByName(_said(spark, "warning", "candidate file missing", candidates or ""))
+    other, more = check_file(spark, candidates, "candidate_entity_ids", required, known)
+    out = out.unionByName(more)
+    if rows is not None and other is not None:
+        out = out.unionByName(not_candidates(rows, "matched_entity_ids", other, "candidate_entity_ids"))
+    return out
+
+
 def passed(problems: DataFrame) -> bool:
     """Whether there is no error (warnings don't count)."""
     return problems.where("severity = 'error'").isEmpty()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +14,11 @@ from amalgam.operators import evaluate as E
 from amalgam.operators import mining as M
 from amalgam.operators import pairs as P
 from amalgam.operators import validate as V
-from amalgam.sources.tables import table
-from amalgam.sources.tsv import id_set, row_range
+from amalgam.sources.tables import cut, shared_dir, table
+from amalgam.sources.tsv import id_set, read_postings, row_range, write_postings
 
-#: The tables are far smaller than the defaults (2,000 postings, 50 candidates) are meant for.
-CAP, TOP = 200, 10
+#: Postings of a key and candidates of a query, as in production.
+CAP, TOP = B.CAP, B.TOP
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -112,6 +114,34 @@ def ngrams(x: str, n: int) -> str:
     return f"list_distinct(list_transform(range(1, length({x}) - {n - 2}), lambda i: substr({x}, i, {n})))"
 
 
+def lcs_ratio(a: str, b: str) -> str:
+    """2 LCS / (len a + len b) by the rows of the table of lengths: the first row is zeros, each character of a gives the next one."""
+    row = f"list_reduce(list_prepend([0]::INT[], list_transform(range(1, length({b}) + 1), lambda j: [j::INT])), lambda r, j: list_append(r, CASE WHEN unicode(substr({b}, j[1], 1)) = c[1] THEN acc[j[1]] + 1 ELSE greatest(acc[j[1] + 1], r[-1]) END))"
+    chars = f"list_transform(range(1, length({a}) + 1), lambda i: [unicode(substr({a}, i, 1))])"
+    table = f"list_reduce(list_prepend(list_transform(range(0, length({b}) + 1), lambda j: 0), {chars}), lambda acc, c: {row})"
+    return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN {a} = '' OR {b} = '' THEN 0.0::DOUBLE ELSE 2 * ({table})[-1]::DOUBLE / (length({a}) + length({b})) END"
+
+
+def sorted_words(x: str) -> str:
+    spaces = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+    return f"array_to_string(list_sort(list_filter(regexp_split_to_array({x}, '{spaces}'), lambda t: t <> '')), ' ')"
+
+
+def jaro_winkler(a: str, b: str) -> str:
+    """DuckDB compares bytes, so the characters of each pair are first written as one byte each."""
+    chars = f"list_distinct(string_split({a} || {b}, ''))"
+    one = "'" + "".join(chr(c) for c in range(33, 127)).replace("'", "''") + "'"
+    to = lambda x: f"translate({x}, array_to_string({chars}, ''), substr({one}, 1, len({chars})))"
+    return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN {a} = '' OR {b} = '' THEN 0.0::DOUBLE ELSE jaro_winkler_similarity({to(a)}, {to(b)}) END"
+
+
+HEADS = f"(SELECT entity_id, arg_max(left(business_name, {B.HEAD}), ord) AS head FROM s23 GROUP BY 1)"
+POOLS = f"""{OVERLAPS}, pool AS (SELECT *, count(*) OVER (PARTITION BY s_ord, source1_entity_id) AS held FROM (SELECT s_ord, source1_entity_id, candidate_entity_id, n, row_number() OVER (PARTITION BY s_ord, source1_entity_id ORDER BY n DESC, first) AS r1 FROM met QUALIFY r1 <= 2 * {TOP})),
+few AS (SELECT s_ord, source1_entity_id, candidate_entity_id, n, r1 AS pos FROM pool WHERE held <= {TOP}),
+heads AS (SELECT p.*, left(s1.business_name, {B.HEAD}) AS h1, t.head AS h2 FROM pool p JOIN s1 ON s1.ord = p.s_ord JOIN {HEADS} t ON t.entity_id = p.candidate_entity_id WHERE held > {TOP}),
+likes AS MATERIALIZED (SELECT h1, h2, {lcs_ratio('h1', 'h2')} AS sim FROM (SELECT DISTINCT h1, h2 FROM heads)), again AS (SELECT heads.*, sim FROM heads JOIN likes USING (h1, h2))"""
+
+
 # ---- scans ----
 @query(f"WITH {ENTITIES} SELECT * FROM s1")
 def entity_scan(spark, d):
@@ -180,7 +210,16 @@ def candidates_one_stage(spark, d):
     return B.candidates(s1(spark, d), s23(spark, d), TOP, CAP)
 
 
-@query()
+@query(f"WITH {OVERLAPS} SELECT s_ord, source1_entity_id, candidate_entity_id, n, pos FROM cands")
+def candidates_kept_index(spark, d):
+    """As candidates_one_stage, from an index that was written and is read again."""
+    at = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    write_postings(B.index(s23(spark, d), CAP), at)
+    return B.search(s1(spark, d), read_postings(spark, at), TOP, rerank=False)
+
+
+@query(f"""WITH {POOLS} SELECT s_ord, source1_entity_id, candidate_entity_id, n, pos FROM few
+ UNION ALL SELECT s_ord, source1_entity_id, candidate_entity_id, n, row_number() OVER (PARTITION BY s_ord, source1_entity_id ORDER BY n DESC, sim DESC, r1) AS pos FROM again QUALIFY pos <= {TOP}""")
 def candidates_two_stage(spark, d):
     return B.reranked(s1(spark, d), s23(spark, d), TOP, CAP)
 
@@ -202,8 +241,8 @@ def blocking_recall(spark, d):
 
 
 # ---- pairs ----
-def joined(spark, d, how="inner"):
-    return P.join_records(candidate_pairs(spark, d), s1(spark, d), s23(spark, d), how)
+def joined(spark, d, how="inner", table=None):
+    return P.join_records(candidate_pairs(spark, d), s1(spark, d), s23(spark, d), how, table)
 
 
 @query(f"WITH {JOINED} SELECT source1_entity_id, candidate_entity_id, pos, n1, a1, c1, n2, a2, c2 FROM joined")
@@ -218,10 +257,12 @@ def pair_join_left(spark, d):
     return j.select(*P.KEY, "pos", F.col("business_name_1").alias("n1"), F.col("business_name_2").alias("n2"), F.col("country_1").alias("c1"), F.col("country_2").alias("c2"))
 
 
-def pair_query(name: str, column, sql: str | None) -> None:
+def pair_query(name: str, column, sql: str | None, table: dict[str, str] | None = None) -> None:
     def run(spark, d):
-        j = joined(spark, d)
+        j = joined(spark, d, table=table)
         c = {k: F.col(v) for k, v in (("n1", "business_name_1"), ("n2", "business_name_2"), ("a1", "business_address_1"), ("a2", "business_address_2"), ("c1", "country_1"), ("c2", "country_2"))}
+        if table:
+            c |= {f"{w[0]}w{n}": F.col(f"{w}_{n}") for w in P.WORDS for n in (1, 2)}
         return j.select(*P.KEY, "pos", column(c).alias("value"))
 
     QUERIES[name] = run
@@ -238,19 +279,19 @@ def spaced(x: str) -> str:
 
 
 BG1, BG2 = (ngrams(spaced(f"(n{i} || ' ' || a{i})"), 2) for i in (1, 2))
-pair_query("sim_token_jaccard", lambda c: S.token_jaccard(c["n1"], c["n2"]), jac(tset("n1"), tset("n2")))
-pair_query("sim_address_jaccard", lambda c: S.token_jaccard(c["a1"], c["a2"]), jac(tset("a1"), tset("a2")))
+pair_query("sim_token_jaccard", lambda c: S.jaccard(c["nw1"], c["nw2"]), jac(tset("n1"), tset("n2")), T.ABBREVIATIONS)
+pair_query("sim_address_jaccard", lambda c: S.jaccard(c["aw1"], c["aw2"]), jac(tset("a1"), tset("a2")), T.ABBREVIATIONS)
 pair_query("sim_trigram_jaccard", lambda c: S.trigram_jaccard(c["n1"], c["n2"]), jac(ngrams(squeezed("n1"), 3), ngrams(squeezed("n2"), 3)))
 pair_query("sim_bigram_dice", lambda c: S.bigram_dice(F.concat(c["n1"], F.lit(" "), c["a1"]), F.concat(c["n2"], F.lit(" "), c["a2"])), f"2 * len(list_intersect({BG1}, {BG2})) / (len({BG1}) + len({BG2}) + 1e-8)")
 pair_query("name_len_ratio", lambda c: S.length_ratio(c["n1"], c["n2"]), "length(n1)::DOUBLE / greatest(length(n2), 1)")
 pair_query("addr_len_ratio", lambda c: S.length_ratio(c["a1"], c["a2"]), "length(a1)::DOUBLE / greatest(length(a2), 1)")
-pair_query("token_overlap", lambda c: S.token_overlap(c["n1"], c["a1"], c["n2"], c["a2"]), f"len(list_intersect(list_concat({tset('n1')}, {tset('a1')}), list_concat({tset('n2')}, {tset('a2')})))")
+pair_query("token_overlap", lambda c: S.token_overlap(c["nw1"], c["aw1"], c["nw2"], c["aw2"]), f"len(list_intersect(list_concat({tset('n1')}, {tset('a1')}), list_concat({tset('n2')}, {tset('a2')})))", T.ABBREVIATIONS)
 pair_query("prefix4_match", lambda c: S.prefix_match(c["n1"], c["n2"], 4), "(left(n1, 4) = left(n2, 4) AND n1 <> '')::DOUBLE")
 pair_query("prefix8_match", lambda c: S.prefix_match(c["n1"], c["n2"], 8), "(left(n1, 8) = left(n2, 8) AND n1 <> '')::DOUBLE")
 pair_query("country_match", lambda c: S.same_country(c["c1"], c["c2"]), "(c1 = c2 AND c1 <> '')::DOUBLE")
-pair_query("sim_ratio", lambda c: S.ratio(c["n1"], c["n2"]), None)
-pair_query("sim_token_sort", lambda c: S.token_sort_ratio(c["n1"], c["n2"]), None)
-pair_query("sim_jaro_winkler", lambda c: S.jaro_winkler(c["n1"], c["n2"]), None)
+pair_query("sim_ratio", lambda c: S.ratio(c["n1"], c["n2"]), lcs_ratio("n1", "n2"))
+pair_query("sim_token_sort", lambda c: S.token_sort_ratio(c["n1"], c["n2"]), lcs_ratio(sorted_words("n1"), sorted_words("n2")))
+pair_query("sim_jaro_winkler", lambda c: S.jaro_winkler(c["n1"], c["n2"]), jaro_winkler("n1", "n2"))
 pair_query("sim_partial_token_set", lambda c: S.partial_token_set(c["n1"], c["n2"]), None)
 
 
@@ -273,12 +314,12 @@ def tfidf_cosine(spark, d):
 
 @query()
 def features_v1(spark, d):
-    return P.features_v1(joined(spark, d)).select(*P.KEY, "pos", *P.V1)
+    return P.features_v1(joined(spark, d, table=T.ABBREVIATIONS_V1)).select(*P.KEY, "pos", *P.V1)
 
 
 @query()
 def features_v2(spark, d):
-    return P.features_v2(joined(spark, d)).select(*P.KEY, "pos", *P.V2)
+    return P.features_v2(joined(spark, d, table=T.ABBREVIATIONS)).select(*P.KEY, "pos", *P.V2)
 
 
 # ---- training ----
@@ -362,12 +403,12 @@ def cross_validation(spark, d):
 
 @query()
 def model_score(spark, d):
-    """Both models fitted on four folds of the labelled pairs, tuned and scored on the fifth."""
+    """Both models fitted and tuned on four folds of the labelled pairs, scored on the fifth."""
     from amalgam.operators.model import train, tuned
 
     pairs = P.stratified_folds(table(spark, d, "labelled_pairs"))
-    rows = P.features_v1(P.join_records(pairs, P.last_by_id(s1(spark, d)), P.last_by_id(s23(spark, d)))).select(*P.KEY, "label", "fold", *P.V1).cache()
-    model = tuned(train(rows.where("fold < 4"), P.V1), rows.where("fold = 4"))
+    rows = cut(P.features_v1(P.join_records(pairs, P.last_by_id(s1(spark, d)), P.last_by_id(s23(spark, d)), table=T.ABBREVIATIONS_V1)).select(*P.KEY, "label", "fold", *P.V1))
+    model = tuned(train(rows.where("fold < 4"), P.V1), rows.where("fold = 3"))
     return model.score(rows.where("fold = 4")).select(*P.KEY, "label", "probability", "is_match")
 
 

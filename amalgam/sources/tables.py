@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of this machine only where the session names none (tests)."""
+    """The folder in spark.checkpoint.dir; where the session names none, a temporary one if all of Spark runs in this process (tests), else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="amalgam-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -40,8 +43,42 @@ def drop_cut(df: DataFrame) -> None:
         if "/cut-" in f:
             path = spark._jvm.org.apache.hadoop.fs.Path(f)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()  # shuffle files go once the driver has collected what refers to them; iterations would pile them up
 
 
 def splits(spark: SparkSession) -> int:
     """Partitions for a stage whose size isn't known: the session's setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def numbered(df: DataFrame, order: list[str], name: str, per: list[str] | None = None) -> DataFrame:
+    """df with a column of row numbers from 1 in the given order, for each value of `per` (the first columns of the order), if any.
+
+    The rows are sorted by ranges over all tasks; what stands before a range is added to the numbers within it. No task holds a whole group.
+    """
+    per = per or []
+    part = df.repartitionByRange(splits(df.sparkSession), *order).withColumn("__part", F.spark_partition_id())
+    part = cut(part)
+    held = part.groupBy("__part", *per).count()  # a row for each range and group in it
+    before = held.withColumn("__before", F.coalesce(F.sum("count").over(Window.partitionBy(*per).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    here = F.row_number().over(Window.partitionBy("__part", *per).orderBy(*order))
+    out = part.withColumn("__here", here)
+    joined = out.join(F.broadcast(before.select(F.col("__part").alias("__p"), *[F.col(c).alias(f"__{c}") for c in per], "__before")), (F.col("__part") == F.col("__p")) & _all_same(per), "left")
+    return joined.select(*df.columns, (F.col("__here") + F.col("__before")).alias(name))
+
+
+def _all_same(per: list[str]) -> Column:
+    out = F.lit(True)
+    for c in per:
+        out = out & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return out
+
+
+def with_positions(df: DataFrame, name: str, base: int = 0) -> DataFrame:
+    """df of a scan with each row's place in it, from base + 1: the rows of the splits before, and the place in its split. Without a shuffle of the rows."""
+    at = df.withColumn("__id", F.monotonically_increasing_id())
+    split = F.shiftright("__id", 33).alias("__split")
+    held = at.select(split).groupBy("__split").count()
+    before = held.select("__split", F.coalesce(F.sum("count").over(Window.orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row for each split
+    out = at.withColumn("__split", split).join(F.broadcast(before), "__split", "left")
+    return out.select(*df.columns, (F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__before") + 1 + base).alias(name))

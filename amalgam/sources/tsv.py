@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from amalgam.sources.tables import with_positions
+
 ENTITY = "entity_id string, business_name string, business_address string, country string"
 CANDIDATES = "source1_entity_id string, candidate_entity_ids string"
 MATCHES = "source1_entity_id string, matched_entity_ids string"
@@ -21,8 +23,7 @@ def read_tsv(spark: SparkSession, path: str, schema: str, na_words: bool = False
 
 def with_order(df: DataFrame, base: int = 0) -> DataFrame:
     """df with `ord`: the place of each row in the file, from base + 1, the same however it is split."""
-    indexed = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1 + base))
-    return df.sparkSession.createDataFrame(indexed, df.schema.add("ord", "long"))
+    return with_positions(df, "ord", base)
 
 
 def row_range(df: DataFrame, start: int, n: int) -> DataFrame:
@@ -41,9 +42,31 @@ def id_set(df: DataFrame, col: str) -> DataFrame:
 
 
 def write_postings(postings: DataFrame, path: str, buckets: int = 64) -> None:
-    """Keeps an index of blocking keys, in files by key."""
+    """Keeps an index of blocking keys (blocking.index), in files by key."""
     postings.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("bucket")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def find_dataset(spark: SparkSession, root: str, name: str, otherwise: str | None = None) -> str | None:
+    """The folder below root that holds the file `name` (the first in order, if several do); `otherwise` if none does."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    todo = [root]
+    while todo:
+        at = todo.pop(0)
+        path = fs_path(at)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            continue
+        entries = sorted(fs.listStatus(path), key=lambda x: x.getPath().getName())
+        if any(x.isFile() and x.getPath().getName() == name for x in entries):
+            return at
+        todo += [f"{at.rstrip('/')}/{x.getPath().getName()}" for x in entries if x.isDirectory()]
+    return otherwise

@@ -2,7 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 
-from amalgam.functions.similarity import lcs_ratio
+from amalgam.functions.batches import lcs
 from amalgam.operators import blocking as B
 
 SCHEMA = "entity_id string, business_name string, business_address string, country string, ord long, extra int"
@@ -26,6 +26,10 @@ def keys_of(spark, df):
     return out
 
 
+def likeness(a, b):
+    return 2 * lcs(a, b) / (len(a) + len(b)) if a or b else 1.0
+
+
 def scan(queries, targets, qkeys, tkeys, cap, k, rerank):
     """What a row-by-row scan finds: index in order of arrival, counter per query, stable sorts."""
     index = defaultdict(list)
@@ -42,7 +46,7 @@ def scan(queries, targets, qkeys, tkeys, cap, k, rerank):
         c.pop(qid, None)
         if rerank and len(c) > k:
             pool = c.most_common(2 * k)
-            best = sorted(pool, key=lambda x: (x[1], lcs_ratio(name[:35], head[x[0]])), reverse=True)[:k]
+            best = sorted(pool, key=lambda x: (x[1], likeness(name[:35], head[x[0]])), reverse=True)[:k]
         else:
             best = sorted(c.items(), key=lambda x: x[1], reverse=True)[:k]
         out[o] = [x for x, _ in best]
@@ -57,7 +61,9 @@ def test_ranking_against_a_scan(spark):
     queries = {r.ord: (r.entity_id, r.business_name) for r in q.collect()}
     targets = {r.ord: (r.entity_id, r.business_name) for r in t.collect()}
     qk, tk = keys_of(spark, q), keys_of(spark, t)
-    for f, rerank in ((B.candidates, False), (B.reranked, True)):
+    kept = B.index(B.targets(t), 12)
+    searched = lambda rerank: lambda x, y, k, cap: B.search(x, kept, k, rerank)
+    for f, rerank in ((B.candidates, False), (B.reranked, True), (searched(False), False), (searched(True), True)):
         got = defaultdict(dict)
         for r in f(B.entities(q), B.targets(t), 5, 12).collect():
             got[r.s_ord][r.pos] = r.candidate_entity_id
@@ -97,9 +103,15 @@ def test_reused_index(spark, tmp_path):
     from amalgam.sources.tsv import read_postings, write_postings
 
     t = frame(spark, [("S2-1", "Acme", "1 Elm", "US")])
-    keyed = B.keyed(B.entities(t))
-    write_postings(keyed, str(tmp_path / "p"), 4)
-    assert sorted(map(tuple, read_postings(spark, str(tmp_path / "p")).select(*keyed.columns).collect())) == sorted(map(tuple, keyed.collect()))
+    kept = B.index(B.entities(t))
+    write_postings(kept, str(tmp_path / "p"), 4)
+    assert sorted(map(tuple, read_postings(spark, str(tmp_path / "p")).select(*kept.columns).collect())) == sorted(map(tuple, kept.collect()))
+
+
+def test_without_a_cap_every_posting_counts(spark):
+    t = frame(spark, [(f"S2-{i}", "Acme", "", "US") for i in range(5)])
+    q = B.entities(frame(spark, [("S1-1", "Acme", "", "US")]))
+    assert B.candidates(q, B.entities(t), 9, 3).count() == 3 and B.candidates(q, B.entities(t), 9, None).count() == 5
 
 
 def test_stream(spark, tmp_path):
@@ -109,6 +121,6 @@ def test_stream(spark, tmp_path):
     q.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(q.schema).parquet(str(tmp_path / "in"))
     t = B.targets(frame(spark, [("S2-1", "Acme", "1 Elm", "US")]))
-    stream_candidates(spark, stream, t, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    stream_candidates(stream, B.index(t), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out/*")).select("s_ord", "candidate_entity_id", "n")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, B.candidates(B.entities(q), t).select("s_ord", "candidate_entity_id", "n").collect()))

@@ -118,13 +118,67 @@ def test_files(spark, tmp_path):
 
 
 def test_models(spark, tmp_path):
-    from amalgam.operators.model import Ensemble, train, tuned
+    from amalgam.operators.model import Ensemble, Settings, score_one, train, tuned
 
     rows = [(float(i % 10) / 10, float(i % 7), int(i % 10 > 5)) for i in range(400)]
     df = spark.createDataFrame(rows, "a double, b double, label int")
-    model = tuned(train(df, ["a", "b"], rounds=5), df)
+    model = tuned(train(df, ["a", "b"], Settings(rounds=5, trees=5, held=0)), df)
     scored = model.score(df)
     assert scored.where("is_match = label").count() == 400
+    assert score_one(model.first, df).where("is_match = label").count() == 400
+    assert train(df, ["a", "b"], Settings(rounds=20, trees=2)).first.stages[-1].getNumTrees <= 20  # may stop early
     model.save(str(tmp_path / "m"))
     again = Ensemble.load(spark, str(tmp_path / "m"))
     assert (again.weight, again.threshold) == (model.weight, model.threshold) and again.score(df).where("is_match = label").count() == 400
+
+
+def test_folds_deal_each_label_in_turn(spark):
+    rows = [(f"S1-{i}", f"S2-{i % 7}", int(i % 10 == 0)) for i in range(103)]
+    df = spark.createDataFrame(rows, "source1_entity_id string, candidate_entity_id string, label int").repartition(5)
+    got = P.stratified_folds(df).groupBy("label", "fold").count().collect()
+    sizes = {k: sorted(r["count"] for r in got if r.label == k) for k in (0, 1)}
+    assert sizes == {0: [18, 18, 18, 19, 19], 1: [2, 2, 2, 2, 3]}
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    from amalgam.sources.tables import numbered, with_positions
+
+    df = spark.range(1000).selectExpr("id % 3 as g", "(id * 7919) % 1000 as x").repartition(6)
+    got = {(r.g, r.x): r.n for r in numbered(df, ["g", "x"], "n", ["g"]).collect()}
+    want = {}
+    for g in range(3):
+        want |= {(g, x): i + 1 for i, (_, x) in enumerate(sorted(k for k in got if k[0] == g))}
+    assert got == want and len(got) == 1000
+    assert [r.n for r in numbered(df, ["x"], "n").orderBy("x").collect()] == list(range(1, 1001))
+    assert sorted(r.n for r in with_positions(spark.range(0, 100, 1, 7), "n", 5).collect()) == list(range(6, 106))
+
+
+def write(path, text):
+    path.write_bytes(text if isinstance(text, bytes) else text.encode())
+    return str(path)
+
+
+def test_whole_files(spark, tmp_path):
+    need, known = spark.createDataFrame([("S1-1",), ("S1-2",)], "entity_id string"), spark.createDataFrame([("S2-1",), ("S3-1",)], "entity_id string")
+    good = write(tmp_path / "good.tsv", "source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1,S3-1\nS1-2\t\n")
+    cands = write(tmp_path / "cands.tsv", "Source1_entity_id \tcandidate_entity_ids\nS1-1\tS2-1,S3-1\nS1-2\tS2-1\n")
+    found = lambda *a: {(r.severity, r.rule): r.examples for r in V.check_files(spark, *a).collect()}
+    assert found(good, cands, need, known) == {}
+    assert set(found(good, str(tmp_path / "none"), need)) == {("warning", "candidate file missing"), ("warning", "ids weren't looked up")}
+    for text, rule in (("", "file empty"), ("source1_entity_id,matched_entity_ids\n", "comma separated header"), ("a\tb\nx\ty\n", "wrong header"), (b"source1_entity_id\tmatched_entity_ids\nS1-1\t\xff\xfe\n", "file isn't UTF-8")):
+        assert ("error", rule) in found(write(tmp_path / "bad.tsv", text), cands, need, known)
+    assert ("error", "file missing") in found(str(tmp_path / "gone.tsv"), cands, need, known)
+    odd = write(tmp_path / "odd.tsv", "source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1\nno tab\n\nS1-1\tS3-1,S2-9\nS1-2\tS2-1,\n")
+    got = found(odd, cands, need, known)
+    assert got[("error", "row without a tab")] == "3" and got[("error", "duplicate row")] == "S1-1" and got[("error", "unknown id")] == "S2-9"
+    assert got[("error", "id without prefix S2- or S3-")] == "" and got[("warning", "matches that are no candidates")] == "S1-1"
+    assert not V.passed(V.check_files(spark, odd, cands, need, known)) and V.passed(V.check_files(spark, good, cands, need, known))
+
+
+def test_a_dataset_is_found_by_a_file_in_it(spark, tmp_path):
+    from amalgam.sources.tsv import find_dataset
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "train_source2.tsv").write_text("x")
+    assert find_dataset(spark, str(tmp_path), "train_source2.tsv") == f"{tmp_path}/a/b"
+    assert find_dataset(spark, str(tmp_path), "other.tsv", "else") == "else" and find_dataset(spark, str(tmp_path / "none"), "x") is None
