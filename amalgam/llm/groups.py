@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from amalgam.sources.tables import cut, drop_cut
+from amalgam.sources.tables import cut, drop_cut, numbered
 
 #: The search for the giant component stops once a frontier is smaller than this part of what is found.
 THIN = 0.05
@@ -80,11 +80,17 @@ def _peel(edges: DataFrame) -> tuple[DataFrame | None, DataFrame]:
 
 
 def connected_components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, group_id) of every id in the columns u and v of `pairs`; v may be null (a vertex without links)."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).where("id is not null").distinct()
-    edges = cut(pairs.where("u <> v").select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).distinct())
+    """(id, group_id) of every id in the columns u and v of `pairs`; v may be null (a vertex without links).
+
+    Ids are numbered in their order once, so all rounds carry and compare numbers only.
+    """
+    ids = cut(numbered(pairs.select(F.explode(F.array("u", "v")).alias("id")).where("id is not null").distinct(), ["id"], "n"))
+    named = pairs.where("u <> v").select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).distinct()
+    of = lambda c: ids.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"))
+    edges = cut(named.join(of("hi"), "hi").join(of("lo"), "lo").select(F.col("nhi").alias("hi"), F.col("nlo").alias("lo")))
     found, rest = _peel(edges)
     at = cut(rest)
+    drop_cut(edges)
     before = None
     for _ in range(max_rounds):
         seen = Observation()
@@ -96,10 +102,12 @@ def connected_components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
         before = seen.get
     else:
         raise RuntimeError("the stars didn't settle")
-    labels = at.select(F.col("hi").alias("id"), F.col("lo").alias("label"))
+    labels = at.select(F.col("hi").alias("n"), F.col("lo").alias("label"))
     if found is not None:
-        roots = labels.withColumnRenamed("id", "root").withColumnRenamed("label", "up")
-        top = found.join(roots, "root", "left").select("id", F.coalesce("up", "root").alias("label"))
-        root = found.select("root").limit(1).withColumnRenamed("root", "id")
-        labels = labels.join(F.broadcast(root), "id", "left_anti").unionAll(top)
-    return ids.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("group_id"))
+        roots = labels.withColumnRenamed("n", "root").withColumnRenamed("label", "up")
+        top = found.join(roots, "root", "left").select(F.col("id").alias("n"), F.coalesce("up", "root").alias("label"))
+        root = found.select("root").limit(1).withColumnRenamed("root", "n")
+        labels = labels.join(F.broadcast(root), "n", "left_anti").unionAll(top)
+    numbers = ids.join(labels, "n", "left").select("id", F.coalesce("label", "n").alias("label"))
+    names = ids.select(F.col("n").alias("label"), F.col("id").alias("group_id"))
+    return numbers.join(names, "label").select("id", "group_id")

@@ -5,7 +5,11 @@ A value is brought to one form in two steps.
    letter-like numerals and mathematical letters become plain ones, look-alike hyphens become "-", accents are composed (NFC).
 2. Script-aware repair: each token's dominant script is the script of its letters that have no look-alike elsewhere (else the most
    frequent one, else that of the whole value). Look-alikes of other scripts are replaced only in tokens that mix scripts, and
-   only if the repaired token is in the vocabulary of the corpus: stored that way, or reached from another spelling as well.
+   only if the repaired token is in the vocabulary of the corpus.
+
+The required result needs a little more in two places, both of them only where the repaired token is in the vocabulary: a token all of
+whose letters are look-alikes of one script (Cyrillic СО in a Latin value) counts as mixed with the value around it, and a repair that two
+different spellings reach counts as stored. Without both, 10 of 1,329 pairs of sf0.1 are lost (4 and 6).
 
 Defined results: null stays null, an empty or blank value becomes "", repeated rows and ties give equal forms (the form depends
 on the value and the vocabulary only), texts of any length are processed whole, other columns pass through untouched.
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from amalgam.functions.values import is_missing
+from amalgam.llm.values import is_missing
 from amalgam.sources.tables import cut
 
 # Letters that look like a Latin one, by script.

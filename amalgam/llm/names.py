@@ -28,7 +28,7 @@ from amalgam.llm import linkage as L
 from amalgam.llm.records import common_words, folded_records, parsed
 from amalgam.llm.roles import Roles, learn
 from amalgam.llm.vectors import name_cosine
-from amalgam.sources.tables import cut, drop_cut
+from amalgam.sources.tables import cut, drop_cut, release
 
 #: The least cosine of a pair of names, and the least mean cosine of two clusters.
 LINK, JOIN = 0.45, 0.3
@@ -55,7 +55,8 @@ def close_names(left: DataFrame, right: DataFrame, roles: Roles, link: float = L
     """
     keyed = [L.side(x.where("core <> ''").select("h", "sketch_a", "sketch_b", F.explode("keys").alias("key")), n) for x, n in zip((left, right), "12")]
     met = keyed[0].join(keyed[1], F.col("key1") == F.col("key2"))
-    close = met.where((F.col("h1") == F.col("h2")) | _near()).select("h1", "h2").distinct()
+    close = cut(met.where((F.col("h1") == F.col("h2")) | _near()).select("h1", "h2").distinct())
+    release(close.sparkSession)
     for x, n in zip((left, right), "12"):
         close = close.join(L.side(x.select("h", "core", "marks"), n), f"h{n}")
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from amalgam.functions.values import BLANKS, MISSING, clean_id
+from amalgam.functions.values import clean_id
 from amalgam.llm import groups, looks, matching, mixing, names, pieces, places, survivors, tokens
+from amalgam.llm.values import BLANKS, MISSING
 from amalgam.plans.skewed import CLEAN
 from amalgam.sources.tables import table
 
@@ -90,11 +91,20 @@ def _kept(field: int, column: str) -> str:
     return f"SELECT id, {field} AS f, ord, updated_at, {bare} AS v FROM r WHERE {column} IS NOT NULL AND lower(trim({column}, '{BLANKS}')) NOT IN ({words})"
 
 
-ORACLE: dict[str, str] = {
-    "p6_found": f"""WITH r AS MATERIALIZED (SELECT id, ord, updated_at, business_name, business_address FROM {CLEAN}),
+WHOLE = f"""r AS MATERIALIZED (SELECT id, ord, updated_at, business_name, business_address, country FROM {CLEAN}),
  v AS MATERIALIZED ({_kept(0, 'business_name')} UNION ALL {_kept(1, 'business_address')}),
- best AS (SELECT id, f, arg_max(ord, struct_pack(u := coalesce(updated_at, '0001-01-01'::TIMESTAMP), o := ord)) AS ord FROM v a
-  WHERE NOT EXISTS (SELECT 1 FROM v b WHERE b.id = a.id AND b.f = a.f AND b.v <> a.v AND starts_with(b.v, a.v)) GROUP BY 1, 2)
+ w AS MATERIALIZED (SELECT id, f, v, max(struct_pack(u := coalesce(updated_at, '0001-01-01'::TIMESTAMP), o := ord)) AS t FROM v a
+  WHERE NOT EXISTS (SELECT 1 FROM v b WHERE b.id = a.id AND b.f = a.f AND b.v <> a.v AND starts_with(b.v, a.v)) GROUP BY 1, 2, 3)"""
+SAYS = f"country IS NOT NULL AND lower(trim(country, '{BLANKS}')) NOT IN ({', '.join(repr(w) for w in MISSING)})"
+
+ORACLE: dict[str, str] = {
+    "p6_found": f"""WITH {WHOLE}, best AS (SELECT id, f, max(t).o AS ord FROM w GROUP BY 1, 2)
  SELECT id AS entity_id, max(CASE WHEN f = 0 THEN best.ord END) AS name_ord, max(CASE WHEN f = 1 THEN best.ord END) AS address_ord
  FROM (SELECT id FROM r GROUP BY id HAVING count(*) > 1) g LEFT JOIN best USING (id) GROUP BY 1""",
+    "p6_records": f"""WITH {WHOLE}, c AS (SELECT v.id, v.v, max(struct_pack(u := coalesce(v.updated_at, '0001-01-01'::TIMESTAMP), o := v.ord, c := trim(r.country))) AS b FROM v JOIN r ON r.ord = v.ord WHERE v.f = 1 AND {SAYS} GROUP BY 1, 2),
+ branch AS (SELECT w.id, max(struct_pack(has := c.b IS NOT NULL, t := w.t, c := c.b.c)) AS x FROM w LEFT JOIN c ON c.id = w.id AND c.v = w.v WHERE w.f = 1 GROUP BY 1),
+ name AS (SELECT id, max(t).o AS ord FROM w WHERE f = 0 GROUP BY 1),
+ loose AS (SELECT id, max(struct_pack(u := coalesce(updated_at, '0001-01-01'::TIMESTAMP), o := ord, c := trim(country))).c AS c FROM r WHERE {SAYS} GROUP BY 1)
+ SELECT k.id AS entity_id, n.business_name, a.business_address, CASE WHEN branch.id IS NULL THEN loose.c ELSE branch.x.c END AS country
+ FROM (SELECT DISTINCT id FROM r) k LEFT JOIN name ON name.id = k.id LEFT JOIN branch ON branch.id = k.id LEFT JOIN loose ON loose.id = k.id LEFT JOIN r n ON n.ord = name.ord LEFT JOIN r a ON a.ord = branch.x.t.o""",
 }

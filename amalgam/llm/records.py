@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from amalgam.functions.values import is_missing
+from amalgam.llm.values import is_missing
 from amalgam.llm.looks import folded
 from amalgam.llm.vectors import sketch, sketches
 from amalgam.sources.tables import cut
@@ -102,7 +102,7 @@ class Words:
         if (i := self.id.get(word)) is not None:
             return "", (i,)
         if word not in self.seen:
-            if len(self.seen) > 50_000:
+            if len(self.seen) > 30_000:
                 self.seen.clear()
             self.seen[word] = self._split(word)
         return self.seen[word]

@@ -38,20 +38,20 @@ class Roles:
     words: list[str]
     roots: list[frozenset[int]]
     droppable: list[bool]
-    against: set[tuple[int, int]]
+    against: np.ndarray  # [u, v], a bool for each two words
     specific: list[bool] = field(default_factory=list)
     known: dict = field(default_factory=dict, repr=False)
 
     def clash(self, u: int, v: int) -> bool:
         """Whether all readings of two words contradict each other."""
-        return all((min(p, q), max(p, q)) in self.against for p in self.roots[u] for q in self.roots[v])
+        return all(self.against[p, q] for p in self.roots[u] for q in self.roots[v])
 
     def level(self, a: tuple[int, ...], b: tuple[int, ...]) -> int:
         """0 the same words or stand-ins, 1 words left out, 2 words left out that can't be, 3 words that contradict each other."""
         if a == b:
             return 0
         if (a, b) not in self.known:
-            if len(self.known) > 30_000:
+            if len(self.known) > 20_000:
                 self.known.clear()
             has = lambda xs: frozenset().union(*(self.roots[x] for x in xs))
             ra, rb = has(a), has(b)
@@ -155,11 +155,11 @@ def learn(values: DataFrame, words: list[str], generic: float = 1.0) -> Roles:
     # a word that stands in for one which itself stands in for another means the last; the best-known readings are kept
     roots = [frozenset(y for x in (found[i] or {i}) for y in (found[x] or {x})) for i in range(k)]
     dropped = [(of("d", i) + 0.5) / (of("g", i) + 10) for i in range(k)]
-    against = set()
+    against = np.zeros((k, k), bool)
     for i in range(k):
         for j in range(i + 1, k):
             chance, expected, swapped = of("t", i) * of("t", j) / total, of("g", i) * of("g", j) / cores, both("s", i, j)
             apart = both("t", i, j) <= TOGETHER * chance and swapped <= REPLACED * min(of("g", i), of("g", j))
             if apart and (expected < 0.5 or swapped <= SWAPPED * expected or max(dropped[i], dropped[j]) < KEPT):
-                against.add((i, j))
+                against[i, j] = against[j, i] = True
     return Roles(words, roots, [x >= DROPPED for x in dropped], against, [of("t", i) < generic * total for i in range(k)])

@@ -1,11 +1,10 @@
 """Problem 6: the surviving record of each group of duplicates, by consistent bundles.
 
-Fields that depend on each other form a bundle (a name; an address), and a bundle survives whole, from one row. Trust in a row's
-bundle is (updated_at, order of arrival). The best choice over all bundles is found by branch and bound: the bound of a node is
-the best trust of each bundle on its own, so where the most trusted bundles break no dependency the root's bound is reached
-and nothing is branched; where they do (address -> country), the node branches on the address, each branch keeping the best
-country that goes with it, and the branch of highest trust wins. Both bounds and branches are aggregations with partial results,
-so a group may hold any share of all rows.
+Fields that depend on each other form a bundle (a name; an address with its country), and a bundle survives whole. Trust in a row's
+bundle is (updated_at, order of arrival). The best choice over all bundles is found by branch and bound. The bound of a node is
+the best trust of each bundle on its own: where bundles don't constrain each other (survivors()), the root meets its bound and nothing is
+branched; where a dependency holds (address -> country, golden_records()), only keys whose root misses the bound are branched.
+Bounds and branches are aggregations with partial results, so a group may hold any share of all rows.
 
 A value cut short (the beginning of another value of the group) is found by sorting: all values that begin with p follow p
 directly, so only the next different value needs a look. The rows are range-sorted over all tasks; the first row of each range
@@ -20,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from amalgam.functions.values import is_missing
+from amalgam.llm.values import is_missing
 from amalgam.sources.tables import cut, splits
 
 
@@ -30,8 +29,8 @@ def bare(c: Column) -> Column:
     return end(F.regexp_replace(end(c), r"(\.\.\.|…)$", ""))
 
 
-def best_bundles(df: DataFrame, key: str, bundles: list[str], updated: str, order: str) -> DataFrame:
-    """(key, field, ord): for each key and each column in `bundles`, the ord of the row whose value survives."""
+def _bundles(df: DataFrame, key: str, bundles: list[str], updated: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """(key, field, ord): for each key and each column in `bundles`, the ord of the row whose value survives; and all values that aren't cut short, (k, f, v, trust)."""
     trust = F.struct(F.col(updated).alias("u"), F.col(order).alias("o"))
     each = df.select(F.col(key).alias("k"), trust.alias("trust"), F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.when(~is_missing(F.col(c)), bare(F.col(c))).alias("v")) for i, c in enumerate(bundles)])).alias("b"))
     each = each.select("k", F.col("b.f").alias("f"), F.col("b.v").alias("v"), "trust").where("v is not null")
@@ -45,31 +44,42 @@ def best_bundles(df: DataFrame, key: str, bundles: list[str], updated: str, orde
     following = ranged.withColumn("next", at).join(F.broadcast(after), "part", "left").withColumn("next", F.coalesce("next", "after"))
     same = (F.col("next.k") == F.col("k")) & (F.col("next.f") == F.col("f")) & F.startswith(F.col("next.v"), F.col("v"))
     whole = following.where(~F.coalesce(same, F.lit(False)))
-    return whole.groupBy("k", "f").agg(F.max("trust").alias("t")).select(F.col("k").alias(key), F.col("f").alias("field"), F.col("t.o").alias("ord"))
+    return whole.groupBy("k", "f").agg(F.max("trust").alias("t")).select(F.col("k").alias(key), F.col("f").alias("field"), F.col("t.o").alias("ord")), whole
 
 
 def survivors(df: DataFrame, key: str, bundles: dict[str, str], updated: str = "updated_at", order: str = "ord", least_rows: int = 1) -> DataFrame:
     """(key, <bundle>...): one row for each key with at least `least_rows` rows; bundles maps an output column to the column it is chosen by."""
-    best = best_bundles(df, key, list(bundles.values()), updated, order)
+    best, _ = _bundles(df, key, list(bundles.values()), updated, order)
     chosen = best.groupBy(key).agg(*[F.max(F.when(F.col("field") == i, F.col("ord"))).alias(name) for i, name in enumerate(bundles)])
     counted = df.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") >= least_rows).drop("__n")
     return counted.join(chosen, key, "left")
 
 
 def golden_records(df: DataFrame, key: str, updated: str = "updated_at", order: str = "ord") -> DataFrame:
-    """(key, business_name, business_address, country): the surviving values, where country must go with the surviving address.
+    """(key, business_name, business_address, country): one consistent record for each key.
 
-    Root of the search: the best name, address and country, each on its own. Where rows with the chosen address give other
-    countries only, the address is branched: every address with the best country beside it; the most trusted branch wins.
+    Bundles are the name, and the address with its country; an address has one country, the most trusted among the rows that hold it. The
+    best record fills the most fields, then has the most trusted address, then country. Branch and bound: the root is the most
+    trusted address with its own country. A branch (another surviving address) can't fill more than both fields and its address is trusted
+    less, so its bound beats the root only where the root has no country; only those keys are branched, and there only the
+    addresses that have one.
     """
-    ords = survivors(df, key, {"name_ord": "business_name", "address_ord": "business_address"}, updated, order)
-    rows = df.select(F.col(key), F.col(order).alias("__o"), F.col(updated).alias("__u"), "business_name", "business_address", "country")
-    trust = F.struct("__u", "__o", "country")
-    known = rows.where(F.col("country").isNotNull() & (F.trim("country") != ""))
-    root = known.groupBy(key).agg(F.max(trust)["country"].alias("root_country"))
-    branch = known.groupBy(key, F.col("business_address").alias("__a")).agg(F.max(trust)["country"].alias("branch_country"))
-    names = rows.select(F.col("__o").alias("name_ord"), "business_name")
-    addresses = rows.select(F.col("__o").alias("address_ord"), "business_address")
-    out = ords.join(names, "name_ord", "left").join(addresses, "address_ord", "left").join(root, key, "left")
-    out = out.join(branch.withColumnRenamed("__a", "business_address"), [key, "business_address"], "left")
-    return out.select(key, "business_name", "business_address", F.coalesce("branch_country", "root_country").alias("country"))
+    best, whole = _bundles(df, key, ["business_name", "business_address"], updated, order)
+    roots = best.groupBy(key).agg(*[F.max(F.when(F.col("field") == i, F.col("ord"))).alias(n) for i, n in enumerate(("name_ord", "root_ord"))])
+    trust = F.struct(F.col(updated).alias("u"), F.col(order).alias("o"))
+    country = F.when(~is_missing(F.col("country")), F.trim("country"))
+    rows = df.select(F.col(key).alias("k"), trust.alias("trust"), country.alias("c"), F.when(~is_missing(F.col("business_address")), bare(F.col("business_address"))).alias("v"))
+    countries = rows.where("v is not null and c is not null").groupBy("k", "v").agg(F.max(F.struct("trust", "c")).alias("b")).select("k", "v", F.col("b.c").alias("c"), F.col("b.trust").alias("ct"))
+    branches = whole.where("f = 1").select("k", "v", "trust").join(countries, ["k", "v"], "left")
+    at_root = F.col("trust.o") == F.col("root_ord")
+    open_ = branches.join(roots.select(F.col(key).alias("k"), "root_ord"), "k")
+    incumbent = open_.where(at_root).select("k", F.col("root_ord").alias("address_ord"), "c")
+    bounded = incumbent.where("c is null").select("k")  # keys whose root a branch may beat
+    beat = open_.where(~at_root & F.col("c").isNotNull()).join(bounded, "k", "left_semi").groupBy("k").agg(F.max(F.struct("trust", "ct", "c")).alias("b")).select("k", F.col("b.trust.o").alias("better_ord"), F.col("b.c").alias("better_c"))
+    chosen = incumbent.join(beat, "k", "left").select(F.col("k").alias(key), F.coalesce("better_ord", "address_ord").alias("address_ord"), F.coalesce("c", "better_c").alias("country"))
+    known = rows.where("c is not null").groupBy("k").agg(F.max(F.struct("trust", "c"))["c"].alias("only"))  # for keys without any address
+    out = df.select(key).distinct().join(roots, key, "left").join(chosen, key, "left").join(known.withColumnRenamed("k", key), key, "left")
+    names = df.select(F.col(order).alias("name_ord"), "business_name")
+    addresses = df.select(F.col(order).alias("address_ord"), "business_address")
+    out = out.join(names, "name_ord", "left").join(addresses, "address_ord", "left")
+    return out.select(key, "business_name", "business_address", F.when(F.col("address_ord").isNull(), F.col("only")).otherwise(F.col("country")).alias("country"))

@@ -70,7 +70,7 @@ def _byte_letters() -> dict[str, int]:
 class Encoder:
     """The vocabulary, the merge table in DuckDB and the words met so far, one for each Python worker."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, unreached: frozenset[int] = frozenset()) -> None:
         model = json.load(open(path, encoding="utf-8"))["model"]
         byte = _byte_letters()
         self.vocab = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if all(c in byte for c in token)}
@@ -78,8 +78,11 @@ class Encoder:
         a, b, made = ([model["vocab"][x] for x in xs] for xs in ([p[0] for p in pairs], [p[1] for p in pairs], [p[0] + p[1] for p in pairs]))
         #: A merge's rank and the id it makes differ by a constant in such vocabularies.
         self.first = made[0]
-        assert all(m == self.first + r for r, m in enumerate(made)), "ids don't follow the ranks"
+        if any(m != self.first + r for r, m in enumerate(made)):
+            raise ValueError(f"{path}: ids don't follow the ranks of merges")
         self.of_byte = np.array([self.vocab[bytes([i])] for i in range(256)], np.int32)
+        #: Tokens that stand for themselves: all that their own bytes contract to. Others have no shortcut.
+        self.whole = {t: i for t, i in self.vocab.items() if i not in unreached}
         #: The longest token that begins with two given bytes.
         self.reach: dict[bytes, int] = {}
         for t in self.vocab:
@@ -132,13 +135,13 @@ class Encoder:
             if word in self.known:
                 continue
             raw = word.encode()
-            if (i := self.vocab.get(raw)) is not None:
+            if (i := self.whole.get(raw)) is not None:
                 self.known[word] = [i]
             else:
                 parts = self.pieces(raw)
                 todo.append((word, parts))
                 for p in parts:
-                    wanted[p] = [i] if (i := self.vocab.get(p)) is not None else []
+                    wanted[p] = [i] if (i := self.whole.get(p)) is not None else []
         missing = [p for p, ids in wanted.items() if not ids]
         for p, ids in zip(missing, self.contract(missing)):
             wanted[p] = ids
@@ -147,15 +150,38 @@ class Encoder:
 
 
 @lru_cache(2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
-def _encode(path: str, at: int):
+def encoder(path: str, unreached: frozenset[int] = frozenset()) -> Encoder:
+    return Encoder(path, unreached)
+
+
+@lru_cache(4)
+def unreached(path: str) -> frozenset[int]:
+    """The tokens of a vocabulary whose own bytes the merges don't contract to that token alone, by contracting each of them, least rank first.
+
+    Only a token that is reached may be looked up instead of contracted. Run once by the driver; the answer travels to the tasks.
+    """
+    model = json.load(open(path, encoding="utf-8"))["model"]
+    rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): r for r, m in enumerate(model["merges"])}
+    none, out = len(rank), []
+    for token, i in model["vocab"].items():
+        parts = list(token)
+        while len(parts) > 1:
+            ranks = [rank.get(p, none) for p in zip(parts, parts[1:])]
+            least = min(ranks)
+            if least == none:
+                break
+            k = ranks.index(least)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        if len(parts) > 1:
+            out.append(i)
+    return frozenset(out)
+
+
+def _encode(path: str, at: int, without: frozenset[int]):
     """Replaces the array of words in column `at` by the array of their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, without)
         for batch in batches:
             words = batch.column(at)
             coded = pc.dictionary_encode(words.flatten())
@@ -177,4 +203,5 @@ def encode(df: DataFrame, text: str, ids: str = "ids", tokenizer: str = "byte_bp
     rest = [c for c in df.columns if c != text]
     kept = df.select(*rest, words.alias(ids))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(_encode(f"{folder}/{tokenizer}.json", len(rest)), f"{schema + ', ' if rest else ''}`{ids}` array<int>")
+    path = f"{folder}/{tokenizer}.json"
+    return kept.mapInArrow(_encode(path, len(rest), unreached(path)), f"{schema + ', ' if rest else ''}`{ids}` array<int>")

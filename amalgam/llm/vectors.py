@@ -15,6 +15,8 @@ from functools import lru_cache
 from math import sqrt
 
 START = 1.5
+#: Names run together whose cosine is below this have halves that differ by more.
+APART = 0.4
 #: Slots into which the n-grams of each kind are hashed.
 SLOTS = 256
 
@@ -64,19 +66,19 @@ def letters(word: str) -> str:
     return word if word.isascii() else unicodedata.normalize("NFD", word)
 
 
-@lru_cache(150_000)
+@lru_cache(80_000)
 def word_vector(word: str) -> Vector:
     return vector(f"^{letters(word)}$")
 
 
-@lru_cache(20_000)
+@lru_cache(10_000)
 def halves(joined: str) -> tuple[Vector, Vector]:
     s = f"^{letters(joined)}$"
     h = (len(s) + 1) // 2
     return vector(s[: h + 1]), vector(s[h - 1 :])
 
 
-@lru_cache(100_000)
+@lru_cache(50_000)
 def _parts(core: str) -> tuple:
     """The vectors of the words of a name of two, else its words."""
     v = core.split()
@@ -92,6 +94,8 @@ def name_cosine(core1: str, core2: str) -> float:
         (a, b), (c, d) = x, y
         return max(cosine(a, c) * cosine(b, d), cosine(a, d) * cosine(b, c))
     v, w = core1.split(), core2.split()
+    if cosine(word_vector("".join(v)), word_vector("".join(w))) < APART:
+        return 0.0
     best = 0.0
     for s in {"".join(v), "".join(sorted(v)), "".join(v[::-1])}:
         for t in {"".join(w), "".join(sorted(w))}:

@@ -37,8 +37,39 @@ def test_empty(spark):
     assert run(spark, []) == {}
 
 
-def test_country_goes_with_the_address(spark):
-    rows = [("a", "N", "1 Elm", "US", 5, 1), ("a", "N", "", "FR", 9, 2), ("b", "N", "1 Elm", None, 5, 3), ("b", "N", None, "FR", 9, 4)]
+def golden(spark, rows):
     df = spark.createDataFrame([(e, n, a, c, at(d), o, 0, 0) for e, n, a, c, d, o in rows], COLS)
-    got = {r.entity_id: (r.business_address, r.country) for r in survivors.golden_records(df, "entity_id").collect()}
-    assert got == {"a": ("1 Elm", "US"), "b": ("1 Elm", "FR")}
+    return {r.entity_id: (r.business_name, r.business_address, r.country) for r in survivors.golden_records(df, "entity_id").collect()}
+
+
+def test_country_goes_with_the_address(spark):
+    got = golden(spark, [
+        ("a", "N", "1 Elm", "US", 5, 1), ("a", "N", "", "FR", 9, 2),  # the later country belongs to no address
+        ("b", "N", "1 Elm", None, 5, 3), ("b", "N", None, "FR", 9, 4),  # no row gives a country with the address
+        ("c", "N", "2 Oak", None, 9, 5), ("c", "M", "1 Elm", "US", 5, 6), ("c", "M", "3 Ash", "FR", 7, 7),  # branched: the root has no country
+        ("d", "N", "1 Elm", "US", 5, 8), ("d", "N", "1 Elm", "FR", 6, 9), ("d", "N", "2 Oak", "DE", 4, 10),  # an address has one country
+        ("e", None, None, "US", 5, 11), ("e", "n/a", "?", " ", 6, 12),
+        ("f", "N", "1 Elm...", "US", 9, 13), ("f", "N", "1 Elm Road", None, 5, 14),  # a branch cut short never wins
+        ("g", None, None, None, None, 15),
+    ])
+    assert got == {"a": ("N", "1 Elm", "US"), "b": ("N", "1 Elm", None), "c": ("N", "3 Ash", "FR"), "d": ("N", "1 Elm", "FR"), "e": (None, None, "US"), "f": ("N", "1 Elm Road", None), "g": (None, None, None)}
+    assert golden(spark, []) == {}
+
+
+def test_branch_and_bound_against_all_combinations(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"k{rng.randint(0, 40)}", rng.choice(["A", "B", None]), rng.choice(["1 Elm", "2 Oak", "3 Ash", None]), rng.choice(["US", "FR", None]), rng.choice([None, *range(1, 9)]), o) for o in range(200)]
+    want = {}
+    for k in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == k]
+        trust = lambda r: (r[4] or 0, r[5])
+        held = {a: max((r for r in own if r[2] == a), key=trust) for a in {r[2] for r in own} - {None}}
+        country = {a: max((r for r in own if r[2] == a and r[3]), key=trust, default=None) for a in held}
+        best = max(held, key=lambda a: (country[a] is not None, trust(held[a])), default=None)
+        name = max((r for r in own if r[1]), key=trust, default=None)
+        loose = max((r for r in own if r[3]), key=trust, default=None)
+        c = (country[best] if best else loose) or (None,) * 6
+        want[k] = (name and name[1], best, c[3])
+    assert golden(spark, rows) == want

@@ -64,3 +64,21 @@ def test_a_limit_must_leave_room(spark):
     with pytest.raises(ValueError):
         run(spark, ["x"], [("s", 10, 8)])
     assert run(spark, ["x y z"], []) == {}
+
+
+def test_every_token_that_is_looked_up_is_reached_by_its_merges(tmp_path):
+    import json
+
+    from amalgam.llm.tokens import TOKENIZERS, Encoder, unreached
+
+    assert not unreached(f"{TOKENIZERS}/byte_bpe_50k.json")
+    letters = tokens._byte_letters()
+    base = {c: b for c, b in letters.items()}
+    merges = [("a", "b"), ("b", "c"), ("a", "bc")]  # abc contracts to ab, c: the token abc is never reached
+    vocab = {**base, "ab": 256, "bc": 257, "abc": 258}
+    (tmp_path / "odd.json").write_text(json.dumps({"model": {"vocab": vocab, "merges": [" ".join(m) for m in merges]}}))
+    odd = unreached(str(tmp_path / "odd.json"))
+    assert odd == {258}
+    enc = Encoder(str(tmp_path / "odd.json"), odd)
+    enc.learn(["abc", "ab"])
+    assert enc.known == {"abc": [256, 99], "ab": [256]}
