@@ -1,50 +1,10 @@
-"""Values that say nothing, spellings of countries and of entity ids."""
+"""Spellings of entity ids."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Texts that only say that nothing is known (lower case, trimmed).
-MISSING = ("", "?", "??", "-", "--", "---", ".", "n/a", "n.a.", "none", "null", "nan", "nil", "unknown", "not given", "not known", "not available", "tbc", "tbd")
-
-BLANKS = " \t\n\r\x0b\x0c\x85\xa0\u2002\u2003\u2004\u2005\u2007\u2009\u200b\u202f\u3000\ufeff"
-
-# Spellings of countries, lower case.
-COUNTRIES = {
-    "US": "us usa u.s. u.s.a. united_states united_states_of_america",
-    "IN": "in ind india",
-    "GB": "gb gbr uk u.k. united_kingdom great_britain",
-    "DE": "de deu germany deutschland",
-    "FR": "fr fra france",
-    "BR": "br bra brasil brazil",
-    "ES": "es esp españa spain",
-    "JP": "jp jpn 日本 japan",
-    "KR": "kr kor south_korea 대한민국",
-    "NL": "nl nld the_netherlands netherlands nederland",
-    "CA": "ca can canada",
-    "PL": "pl pol poland polska",
-    "VN": "vn vnm vietnam",
-    "IE": "ie irl ireland",
-    "BG": "bg bgr bulgaria българия",
-    "GR": "gr grc greece ελλάδα",
-    "ZA": "za zaf south_africa",
-    "NA": "na nam namibia",
-}
-COUNTRY_OF = {word.replace("_", " "): code for code, words in COUNTRIES.items() for word in words.split()}
-
-
-def is_missing(c: Column) -> Column:
-    return c.isNull() | F.lower(F.trim(c, F.lit(BLANKS))).isin(*MISSING)
-
-
-def country_code(c: Column) -> Column:
-    """One code for each country; the upper-cased text where the spelling isn't listed, null where nothing is given. NA is Namibia."""
-    at = F.lower(F.trim(c))
-    known = F.create_map(*[F.lit(x) for kv in COUNTRY_OF.items() for x in kv])
-    return F.when(at == "", None).otherwise(F.coalesce(F.try_element_at(known, at), F.upper(F.trim(c))))
-
-
 WIDE = "Ｓｓ０１２３４５６７８９－"
 NARROW = "Ss0123456789-"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,7 +44,13 @@ def drop_cut(df: DataFrame) -> None:
         if "/cut-" in f:
             path = spark._jvm.org.apache.hadoop.fs.Path(f)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    spark._jvm.System.gc()  # shuffle files go once the driver has collected what refers to them; iterations would pile them up
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the shuffle files of finished steps go: Spark deletes them once the driver has collected what refers to them, and they would pile up till then."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def splits(spark: SparkSession) -> int:
