@@ -28,7 +28,7 @@ from amalgam.llm import linkage as L
 from amalgam.llm.records import common_words, folded_records, parsed
 from amalgam.llm.roles import Roles, learn
 from amalgam.llm.vectors import name_cosine
-from amalgam.sources.tables import cut, drop_cut, release
+from amalgam.sources.tables import cut, drop_all, drop_cut, release
 
 #: The least cosine of a pair of names, and the least mean cosine of two clusters.
 LINK, JOIN = 0.45, 0.3
@@ -56,6 +56,7 @@ def close_names(left: DataFrame, right: DataFrame, roles: Roles, link: float = L
     keyed = [L.side(x.where("core <> ''").select("h", "sketch_a", "sketch_b", F.explode("keys").alias("key")), n) for x, n in zip((left, right), "12")]
     met = keyed[0].join(keyed[1], F.col("key1") == F.col("key2"))
     close = cut(met.where((F.col("h1") == F.col("h2")) | _near()).select("h1", "h2").distinct())
+    del met, keyed  # or their shuffles would stay
     release(close.sparkSession)
     for x, n in zip((left, right), "12"):
         close = close.join(L.side(x.select("h", "core", "marks"), n), f"h{n}")
@@ -173,16 +174,13 @@ def same_name_pairs(df1: DataFrame, id1, df2: DataFrame, id2) -> DataFrame:
     rows = [folded_records(df, id_col, address=False) for df, id_col in ((df1, id1), (df2, id2))]
     distinct = [cut(x.select("name").distinct()) for x in rows]
     ids = [cut(x.select("id", F.xxhash64("name").alias("h"))) for x in rows]
-    for x in rows:
-        drop_cut(x)
+    drop_all(*rows)
     words = common_words(*distinct)
     parts = [parsed(x.withColumn("h", F.xxhash64("name")), words, None) for x in distinct]
-    for x in distinct:
-        drop_cut(x)
+    drop_all(*distinct)
     good = close_names(*parts, name_roles(words, *parts)).where("marks < 2")
     edges = cut(good.select(F.concat(F.lit("1"), F.hex("h1")).alias("a"), F.concat(F.lit("2"), F.hex("h2")).alias("b"), F.col("cosine").alias("s")))
-    for x in parts:
-        drop_cut(x)
+    drop_all(*parts)
     clusters = average_linkage(edges, JOIN).select(F.left("node", F.lit(1)).alias("side"), F.conv(F.substring("node", 2, 16), 16, -10).cast("bigint").alias("h"), "cluster")
     clusters = cut(clusters)
     drop_cut(edges)
