@@ -37,19 +37,20 @@ def cut(df: DataFrame, observed: Observation | None = None, *what: Column) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files behind a table made by cut() that nothing will read again."""
-    drop_all(df)
+def drop_all(*tables: DataFrame) -> None:
+    """drop_cut() of several tables, at the end of a large step: its shuffles go, too."""
+    for df in tables:
+        drop_cut(df)
+    release(tables[0].sparkSession)
 
 
-def drop_all(*tables: DataFrame) -> None:
-    """drop_cut() of several tables."""
-    spark = tables[0].sparkSession
-    for f in {x.rsplit("/", 1)[0] for df in tables for x in df.inputFiles()}:
+def drop_cut(df: DataFrame) -> None:
+    """Delete the files behind a table made by cut() that nothing will read again."""
+    spark = df.sparkSession
+    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
         if "/cut-" in f:
             path = spark._jvm.org.apache.hadoop.fs.Path(f)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    release(spark)
 
 
 def release(spark: SparkSession) -> None:
