@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from amalgam.functions import similarity as S
@@ -117,8 +121,8 @@ def tfidf_cosine(pairs: DataFrame, weights: DataFrame | None = None, max_feature
     """(source1_entity_id, candidate_entity_id, text_1, text_2, tfidf_cosine) for each distinct pair.
 
     weights: a fitted idf table; by default it is fitted on the given pairs, each giving both of its texts. Each distinct text is
-    taken apart once, and a pair's product is summed from its two texts' vectors, never from all pairs of texts. Texts travel as a hash
-    of 128 bits.
+    taken apart once, and a pair's product is summed from its two texts' vectors, never from all pairs of texts. Texts are told apart
+    by a hash of 128 bits, n-grams by one of 64.
     """
     pairs = pairs.withColumns({"doc_1": F.md5("text_1"), "doc_2": F.md5("text_2")})
     both = pairs.select(F.explode(F.array(F.struct(F.col("doc_1").alias("doc"), F.col("text_1").alias("t")), F.struct(F.col("doc_2").alias("doc"), F.col("text_2").alias("t")))).alias("x"))
@@ -129,13 +133,32 @@ def tfidf_cosine(pairs: DataFrame, weights: DataFrame | None = None, max_feature
         total = times.agg(F.sum("m").alias("total"))  # one row
         kept = counted.groupBy("gram").agg(F.sum(F.col("tf") * F.col("m")).alias("all"), F.sum("m").alias("df")).orderBy(F.desc("all"), "gram").limit(max_features)
         weights = kept.crossJoin(F.broadcast(total)).select("gram", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
-    vectors = each.join(weights, "gram").select("doc", "gram", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = vectors.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    side = lambda df, n, *cols: df.select(F.col("doc").alias(f"doc_{n}"), *[F.col(c).alias(f"{c}{n if c != 'gram' else ''}") for c in cols])
-    docs = pairs.select("doc_1", "doc_2").distinct()
-    product = docs.join(side(vectors, 1, "gram", "w"), "doc_1").join(side(vectors, 2, "gram", "w"), ["doc_2", "gram"]).groupBy("doc_1", "doc_2").agg(F.sum(F.col("w1") * F.col("w2")).alias("p"))
-    joined = pairs.select(*KEY, "text_1", "text_2", "doc_1", "doc_2").distinct().join(product, ["doc_1", "doc_2"], "left").join(side(norms, 1, "norm"), "doc_1", "left").join(side(norms, 2, "norm"), "doc_2", "left")
-    return joined.select(*KEY, "text_1", "text_2", F.coalesce(F.try_divide("p", F.col("norm1") * F.col("norm2")), F.lit(0.0)).alias("tfidf_cosine"))
+    entry = F.struct(F.xxhash64("gram").alias("g"), (F.col("tf") * F.col("idf")).alias("w"))
+    vectors = each.join(weights, "gram").groupBy("doc").agg(F.array_sort(F.collect_list(entry)).alias("v"))  # as long as its text
+    side = lambda n: vectors.select(F.col("doc").alias(f"doc_{n}"), F.col("v.g").alias(f"g{n}"), F.col("v.w").alias(f"w{n}"))
+    docs = pairs.select("doc_1", "doc_2").distinct().join(side(1), "doc_1").join(side(2), "doc_2")
+    cosines = docs.mapInArrow(_cosines, "doc_1 string, doc_2 string, c double")
+    joined = pairs.select(*KEY, "text_1", "text_2", "doc_1", "doc_2").distinct().join(cosines, ["doc_1", "doc_2"], "left")
+    return joined.select(*KEY, "text_1", "text_2", F.coalesce("c", F.lit(0.0)).alias("tfidf_cosine"))
+
+
+def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cosines of pairs of sparse vectors (g1, w1) and (g2, w2), each sorted by g: all vectors of a batch are merged at once."""
+    for b in batches:
+        key, weight, row = [], [], []
+        norms = []
+        for n in "12":
+            g, w = b.column(f"g{n}"), b.column(f"w{n}").flatten().to_numpy(zero_copy_only=False)
+            at = np.repeat(np.arange(b.num_rows), np.diff(g.offsets.to_numpy()))
+            norms.append(np.sqrt(np.bincount(at, w * w, b.num_rows)))
+            key.append(g.flatten().to_numpy(zero_copy_only=False)), weight.append(w), row.append(at)
+        k, w, r = np.concatenate(key), np.concatenate(weight), np.concatenate(row)
+        order = np.lexsort((k, r))
+        k, w, r = k[order], w[order], r[order]
+        same = (k[1:] == k[:-1]) & (r[1:] == r[:-1])  # an n-gram stands at most once in a vector, so equal neighbours are of both
+        product = np.bincount(r[1:][same], w[1:][same] * w[:-1][same], b.num_rows)
+        size = norms[0] * norms[1]
+        yield pa.RecordBatch.from_arrays([b.column("doc_1"), b.column("doc_2"), pa.array(np.divide(product, size, out=np.zeros(b.num_rows), where=size > 0))], ["doc_1", "doc_2", "c"])
 
 
 def overridden(predicted: Column) -> Column:
