@@ -183,7 +183,7 @@ def sound(word: str) -> str:
 
 def street_keys(house: str, post: str, street: list[str]) -> list[int]:
     """The number with the postcode, and with the sound of the street: of a street of one word its beginning, its end and both; of more words,
-    for each two next to each other (the last and the first are, too), the beginning or end of one with that of the other, in either order."""
+    of each both, and for each two next to each other (the last and the first are, too), the beginning or end of one with that of the other, in either order."""
     if not house:
         return []
     keys = {f"{house}={post}"} if post else set()
@@ -196,6 +196,7 @@ def street_keys(house: str, post: str, street: list[str]) -> list[int]:
     elif ends:
         for i, v in enumerate(ends if len(ends) > 2 else ends[:1]):
             keys |= {house + "".join(sorted((x, y))) for x in v for y in ends[(i + 1) % len(ends)]}
+        keys |= {house + "".join(v) for v in ends}
     return _hashed(sorted(keys))
 
 
