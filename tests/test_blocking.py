@@ -93,6 +93,27 @@ def test_plan_caps_before_the_join(spark):
     assert "WindowGroupLimit" in plan
 
 
+def test_pairs_are_not_shuffled(spark, monkeypatch):
+    """A part of the queries receives the list of a key once: no exchange of pairs, however many share the key; ids may hold any character."""
+    monkeypatch.setattr(B, "PAIRS", 7)
+    t = B.targets(frame(spark, [(f"S2-{i}\x00,\x01b", "Acme", "", "US") for i in range(40)]))
+    q = B.entities(frame(spark, [(f"S1-{i}\x01", "Acme", "", "US") for i in range(60)]))
+    assert B.met(q, B.plain_index(t)).count() <= 2 * B.parts(q)
+    got = B.candidates(q, t, 5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")]
+    found = defaultdict(list)
+    for r in got.orderBy("s_ord", "pos").collect():
+        found[r.source1_entity_id].append((r.candidate_entity_id, r.n))
+    assert len(found) == 60 and all(x == [(f"S2-{i}\x00,\x01b", 2) for i in range(5)] for x in found.values())
+
+
+def test_postings_are_capped_before_their_shuffle(spark):
+    t = frame(spark, [("S2-1", "Acme", "1 Elm", "US")])
+    plan = B.capped(B.keyed(B.targets(t)), B.CAP)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan[plan.index("Exchange") :]
+
+
 def test_histogram(spark):
     t = frame(spark, [(f"S2-{i}", "Acme", "", "US") for i in range(5)])
     rows = {r.size: (r["keys"], r.over) for r in B.histogram(B.keyed(B.entities(t)), 3).collect()}
