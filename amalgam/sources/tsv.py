@@ -42,8 +42,8 @@ def id_set(df: DataFrame, col: str) -> DataFrame:
 
 
 def write_postings(postings: DataFrame, path: str, buckets: int = 64) -> None:
-    """Keeps an index of blocking keys (blocking.index), in files by key."""
-    postings.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    """Keeps an index of blocking keys (blocking.index), in as many files, as its rows come: one more shuffle would double its disk."""
+    postings.coalesce(buckets).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:

@@ -108,6 +108,33 @@ def test_pairs_are_not_shuffled(spark, monkeypatch):
     assert len(found) == 60 and all(x == [(f"S2-{i}\x00,\x01b", 2) for i in range(5)] for x in found.values())
 
 
+def test_lists_are_made_where_candidates_are_ranked(spark):
+    t = B.targets(frame(spark, [(f"S2-{i}", "Acme", f"{i} Elm", "US") for i in range(9)]))
+    q = B.entities(frame(spark, [("S1-1", "Acme", "3 Elm", "US"), ("S1-2", None, None, None), ("S1-3", "Other", "", "US"), ("S1-1", "Acme", "", "US")]))
+    got = B.candidate_lists(q, t, 4)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, B.lists(q, B.candidates(q, t, 4)).collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")]
+
+
+def test_recall_of_the_queries_that_truth_names(spark):
+    t = B.targets(frame(spark, [(f"S2-{i}", "Acme", f"{i} Elm", "US") for i in range(9)]))
+    q = B.entities(frame(spark, [("S1-1", "Acme", "3 Elm", "US"), ("S1-2", "Acme", "4 Elm", "US")]))
+    truth = spark.createDataFrame([("S1-1", "S2-3"), ("S1-1", "S2-99"), ("S1-9", "S2-1")], "source1_entity_id string, candidate_entity_id string")
+    some = B.asked_about(q, truth)
+    assert some.count() == 1
+    assert B.recall(B.candidates(some, t), truth).first() == B.recall(B.candidates(q, t), truth).first()
+
+
+def test_kept_index_is_written_as_it_comes(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from amalgam.sources.tsv import write_postings
+
+    monkeypatch.setattr(DataFrame, "repartition", lambda *a: 1 / 0)  # a shuffle of all postings
+    write_postings(B.plain_index(B.entities(frame(spark, [("S2-1", "Acme", "1 Elm", "US")]))), str(tmp_path / "p"), 4)
+
+
 def test_postings_are_capped_before_their_shuffle(spark):
     t = frame(spark, [("S2-1", "Acme", "1 Elm", "US")])
     plan = B.capped(B.keyed(B.targets(t)), B.CAP)._jdf.queryExecution().executedPlan().toString()
