@@ -126,6 +126,15 @@ def test_recall_of_the_queries_that_truth_names(spark):
     assert B.recall(B.candidates(some, t), truth).first() == B.recall(B.candidates(q, t), truth).first()
 
 
+def test_stats_send_no_more_of_a_key_than_its_queries_count(spark):
+    t = B.targets(frame(spark, [(f"S2-{i // 2}", "Acme", f"{i} Elm", "US") for i in range(80)] + [("S1-1", "Acme", "1 Elm", "US")]))
+    q = B.entities(frame(spark, [("S1-1", "Acme", "3 Elm", "US"), ("S1-2", "Acme", "", "US"), ("S1-3", "Other", "70 Elm", "US"), ("S1-4", None, None, None)]))
+    lists = B.met(q, B.plain_index(t), 6).collect()
+    assert lists and max(len(r["ids"].split(B.APART)) for r in lists) == 6
+    for k, cap in ((5, 2000), (50, 2000), (3, 4), (50, None)):
+        assert B.stats(q, B.counted(q, t, k, cap), k).first() == B.stats(q, B.candidates(q, t, k, cap), k).first()
+
+
 def test_kept_index_is_written_as_it_comes(spark, tmp_path, monkeypatch):
     from pyspark.sql import DataFrame
 
