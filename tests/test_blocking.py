@@ -126,6 +126,17 @@ def test_recall_of_the_queries_that_truth_names(spark):
     assert B.recall(B.candidates(some, t), truth).first() == B.recall(B.candidates(q, t), truth).first()
 
 
+def test_pools_are_ranked_again_without_a_shuffle_of_pairs(spark, monkeypatch):
+    t = B.targets(frame(spark, [(f"S2-{i // 2}\x00", "Acme " + "abcdef"[i % 6] * (i % 9), f"{i} Elm", "US") for i in range(80)]))
+    q = B.entities(frame(spark, [(f"S1-{i}", "Acme " + "abcdef"[i % 6] * 4, "", "US") for i in range(30)] + [("S1-x", "Other", "7 Elm", "US"), ("S1-y", None, None, None)]))
+    got = B.reranked(q, t, 6)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan[: plan.index("MapInArrow")]
+    first = sorted(map(tuple, got.collect()))
+    monkeypatch.setattr(B, "PAIRS", 50)
+    assert sorted(map(tuple, B.reranked(q, t, 6).collect())) == first and len(first) > 180
+
+
 def test_stats_send_no_more_of_a_key_than_its_queries_count(spark):
     t = B.targets(frame(spark, [(f"S2-{i // 2}", "Acme", f"{i} Elm", "US") for i in range(80)] + [("S1-1", "Acme", "1 Elm", "US")]))
     q = B.entities(frame(spark, [("S1-1", "Acme", "3 Elm", "US"), ("S1-2", "Acme", "", "US"), ("S1-3", "Other", "70 Elm", "US"), ("S1-4", None, None, None)]))
