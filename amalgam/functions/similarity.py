@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from amalgam.functions.batches import jaro_winkler_ratios, partial_token_set_ratios, ratios
-from amalgam.functions.text import char_grams, text, token_set, word_sort
+from amalgam.functions.text import char_grams, let, text, token_set, word_sort
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets; 1 if both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(union, F.lit(1)))
+    of = lambda union, both: F.when(union == 0, 1.0).otherwise(both / F.greatest(union, F.lit(1)))
+    return let(lambda x, y: let(of, F.size(F.array_union(x, y)), F.size(F.array_intersect(x, y))), a, b)
 
 
 def token_jaccard(a: Column, b: Column) -> Column:
@@ -36,8 +36,8 @@ def trigram_jaccard(a: Column, b: Column) -> Column:
 def bigram_dice(a: Column, b: Column) -> Column:
     """Of character bigrams of the lower-cased texts, runs of white space as one blank."""
     form = lambda c: F.regexp_replace(F.lower(text(c)), r"(?U)\s\s+", " ")
-    x, y = char_grams(form(a), 2), char_grams(form(b), 2)
-    return 2 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y) + F.lit(1e-8))
+    of = lambda x, y: 2 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y) + F.lit(1e-8))
+    return let(of, char_grams(form(a), 2), char_grams(form(b), 2))
 
 
 def length_ratio(a: Column, b: Column) -> Column:
@@ -63,7 +63,9 @@ def difficulty(names: Column, addresses: Column, c1: Column, c2: Column) -> Colu
     return 0.5 * names + 0.3 * addresses + 0.2 * same_country(low(c1), low(c2))
 
 
-def _udf(f: Callable[[list[str], list[str]], np.ndarray]):
+def paired(f: Callable[[list[str], list[str]], np.ndarray]):
+    """A function of two lists of texts, as one of two columns."""
+
     @F.pandas_udf(DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(f(a.tolist(), b.tolist()), dtype="float64")
@@ -71,7 +73,7 @@ def _udf(f: Callable[[list[str], list[str]], np.ndarray]):
     return run
 
 
-_ratio, _jw, _partial = _udf(ratios), _udf(jaro_winkler_ratios), _udf(partial_token_set_ratios)
+_ratio, _jw, _partial = paired(ratios), paired(jaro_winkler_ratios), paired(partial_token_set_ratios)
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -89,10 +91,9 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
 def partial_token_set(a: Column, b: Column) -> Column:
     """The slow branch runs only for pairs without a word in common: the others are settled natively and reach the UDF as nulls."""
     words = lambda c: F.filter(F.split(text(c), r"(?U)\s+"), lambda t: t != "")
-    x, y = words(a), words(b)
-    open_ = (F.size(x) > 0) & (F.size(y) > 0) & ~F.arrays_overlap(x, y)
-    slow = _partial(F.when(open_, text(a)).otherwise(""), F.when(open_, text(b)).otherwise(""))
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when(F.arrays_overlap(x, y), 1.0).otherwise(slow)
+    settled = let(lambda x, y: F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when(F.arrays_overlap(x, y), 1.0), words(a), words(b))
+    slow = _partial(F.when(settled.isNull(), text(a)).otherwise(""), F.when(settled.isNull(), text(b)).otherwise(""))
+    return F.coalesce(settled, slow)
 
 
 def register(spark) -> None:
